@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, line_dedup, mixing, url_filter
+from . import decontaminate, fingerprint, jaccard_join, language_id, line_dedup, mixing, url_filter, warc
 from .common import read_table
 
 #: Host, path prefix and action of the url rules.
@@ -38,4 +38,14 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_url_filter, op5_mix_sources, op7_fingerprint, op8_jaccard_join)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(read_table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_url_filter, op5_mix_sources, op7_fingerprint, op8_jaccard_join, op9_warc, op10_language_id)}
