@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, language_id, line_dedup, mixing, quality, url_filter, warc
+from . import decontaminate, fingerprint, jaccard_join, language_id, line_dedup, mixing, quality, substring_dedup, url_filter, warc
 from .common import read_table
 
 #: Host, path prefix and action of the url rules.
@@ -26,6 +26,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,4 +58,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_url_filter, op5_mix_sources, op6_quality, op7_fingerprint, op8_jaccard_join, op9_warc, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_url_filter, op4_substring_dedup, op5_mix_sources, op6_quality, op7_fingerprint, op8_jaccard_join, op9_warc, op10_language_id)}
