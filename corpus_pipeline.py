@@ -24,10 +24,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them; documents that are left without text go."""
+    """Lines that many documents share stay in one of them; a document may be left without text, but stays."""
     kept = line_dedup.dedup_lines(docs)
     n_dropped = next(c for c in reversed(kept.columns) if c.lower().startswith("n_dropped"))
-    kept = kept.where((F.col(n_dropped) == 0) | (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != ""))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
