@@ -40,8 +40,9 @@ def normalize_nodes(nodes: DataFrame) -> DataFrame:
     id_ = F.coalesce(F.col("id").cast("string"), F.lit(""))
     last = F.coalesce(_blank(F.element_at(F.split(id_, r"\."), -1)), id_)
     name = F.coalesce(_blank(F.col("name")), last)
-    located = meta.isNotNull()
-    get = lambda c: F.when(located, meta[c])
+    kinds = {f.name: f.dataType for f in NODES["metadata"].dataType}
+    known = set(df.schema["metadata"].dataType.names)
+    get = lambda c: meta[c].cast(kinds[c]) if c in known else F.lit(None).cast(kinds[c])
     file = F.coalesce(_blank(F.col("file")), get("file"))
     begin, end = F.coalesce(F.col("line_start"), get("line_start")), F.coalesce(F.col("line_end"), get("line_end"))
     filled = [(get(f.name) if f.name not in ("file", "line_start", "line_end") else F.coalesce(get(f.name), {"file": file, "line_start": begin, "line_end": end}[f.name])).alias(f.name) for f in NODES["metadata"].dataType]

@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import DEPENDENCY_EDGES, TERMINAL_TYPES, TRACE_PRIORITY
 from ..functions.scores import edge_confidence
+from ..schema import DEPENDENCY_EDGES, TERMINAL_TYPES, TRACE_PRIORITY
 from ..storage import materialize
 from .normalize import latest_nodes, rank_edges
 
+#: Levels that one plan holds; deeper traversals are written out in between.
+_LEVELS_PER_PLAN = 6
 _HOP = "array<struct<source:string,target:string,type:string>>"
 
 
@@ -34,7 +36,9 @@ def enumerate_paths(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_de
     state = roots.select("root").distinct().join(kinds, F.col("root") == F.col("node"), "left")
     ended = lambda: F.when(F.col("kind").isin(*TERMINAL_TYPES), "terminal")
     state = state.select("root", F.array("root").alias("node_ids"), F.array().cast(_HOP).alias("hops"), F.array().cast("array<int>").alias("sort_key"), ended().alias("termination"), F.lit(None).cast("string").alias("cycle_to"), F.col("root").alias("at"))
-    for _ in range(max_depth):
+    for level in range(max_depth):
+        if level and level % _LEVELS_PER_PLAN == 0:
+            state = materialize(state, "paths")
         open_ = F.col("termination").isNull()
         joined = state.join(steps, open_ & (F.col("at") == F.col("from")), "left").where(~open_ | F.col("from").isNull() | (F.coalesce(F.col("target"), F.lit("")) != ""))
         moved, back = F.col("from").isNotNull(), F.array_contains("node_ids", F.col("target"))
@@ -68,6 +72,8 @@ def impact_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, *, weig
     kind = back.schema["edge"].dataType.simpleString()
     state = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.array("seed").alias("node_path"), F.array().cast(f"array<{kind}>").alias("edge_path"), F.lit(0).alias("depth"), F.col("confidence").cast("double").alias("confidence"), F.lit(True).alias("open"))
     for depth in range(max_depth):
+        if depth and depth % _LEVELS_PER_PLAN == 0:
+            state = materialize(state, "impact")
         both = state.withColumn("grow", F.explode(F.when(F.col("open"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
         joined = both.join(back, F.col("grow") & (F.col("node") == F.col("into")), "left").where(~F.col("grow") | (F.col("edge").isNotNull() & ~F.array_contains("node_path", F.col("edge.source"))))
         grew = F.col("grow")
