@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .tokens import chunks, hash_words, mix, shingles
 
-#: Bits of the filter of repeated signatures that every task gets; its size is fixed.
-FILTER_BITS = 24
+#: The filter of repeated signatures that every task gets has 2**FILTER_BITS bits (16 MB), whatever the input.
+FILTER_BITS = 27
 #: Pairs of hash functions whose windows are joined. At similarity 0.8 one pair meets with probability 0.64, one of three with 0.95.
 BANDS = 3
+#: Words sent along on either side, into which a passage with edits may go on.
+MARGIN = 24
 _AT_BITS = 26
 _AT = np.uint64((1 << _AT_BITS) - 1)
 
@@ -108,12 +110,8 @@ def _signatures(n: int, width: int):
     return run
 
 
-def _regions(n: int, width: int, filter_words: dict[int, int]):
-    filled = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for slot, bits in filter_words.items():
-        filled[slot] = bits & 0xFFFFFFFFFFFFFFFF
-    filled = np.unpackbits(filled.view(np.uint8), bitorder="little").view(bool)
-    shift = np.uint64(64 - FILTER_BITS)
+def _regions(n: int, width: int, filled: np.ndarray):
+    shift, low = np.uint64(64 - FILTER_BITS), np.uint64(63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +121,8 @@ def _regions(n: int, width: int, filter_words: dict[int, int]):
                 grams, at = shingles(words, ptr, n)
                 found = []
                 for signature, anchor, first, last in cells(grams, at, width):
-                    hit = filled[signature >> shift]
+                    slot = signature >> shift
+                    hit = (filled[slot >> np.uint64(6)] >> (slot & low)) & np.uint64(1) == 1
                     found.append(np.stack([signature[hit].view(np.int64), anchor[hit], first[hit], last[hit]]))
                 if not found or not sum(f.shape[1] for f in found):
                     continue
@@ -131,16 +130,16 @@ def _regions(n: int, width: int, filter_words: dict[int, int]):
                 cell = cell[:, np.argsort(cell[2], kind="stable")]
                 row = np.searchsorted(at, cell[2], "right") - 1
                 stop = cell[3] + width + n - 1 - at[row] + ptr[row]  # past the last word of the last subsequence
-                start = cell[2] - at[row] + ptr[row]
+                start, stop = np.maximum(ptr[row], cell[2] - at[row] + ptr[row] - MARGIN), np.minimum(ptr[row + 1], stop + MARGIN)
                 reach = np.maximum.accumulate(stop)
                 cut = np.flatnonzero(np.concatenate(([True], (start[1:] > reach[:-1]) | (row[1:] != row[:-1]))))
                 edges = [*cut.tolist(), len(start)]
                 out: dict[str, list] = {"id": [], "begin": [], "words": [], "signatures": [], "anchors": []}
                 for a, b in zip(edges, edges[1:], strict=False):
-                    r, low = int(row[a]), int(start[a])
+                    r, at_word = int(row[a]), int(start[a])
                     out["id"].append(int(ids[begin + r]))
-                    out["begin"].append(low - int(ptr[r]))
-                    out["words"].append((words[low : int(reach[b - 1])] >> np.uint64(32)).astype(np.uint32).tobytes())
+                    out["begin"].append(at_word - int(ptr[r]))
+                    out["words"].append((words[at_word : int(reach[b - 1])] >> np.uint64(48)).astype(np.uint16).tobytes())
                     out["signatures"].append(cell[0, a:b])
                     out["anchors"].append(cell[1, a:b] - at[r])
                 yield pa.RecordBatch.from_arrays(
@@ -207,7 +206,7 @@ def _verify(n: int, least: int, threshold: float):
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in _FOUND}
             for row in batch.to_pylist():
-                own, other = np.frombuffer(row["words"], np.uint32), np.frombuffer(row["source_words"], np.uint32)
+                own, other = np.frombuffer(row["words"], np.uint16), np.frombuffer(row["source_words"], np.uint16)
                 offset = row["begin"] - row["source_begin"]
                 for a, b, c, d, similarity in matching_passages(own, other, sorted(s - offset for s in row["shifts"]), n, least, threshold):
                     for k, v in zip(out, (row["id"], row["begin"] + a, row["begin"] + b, row["source_id"], row["source_begin"] + c, row["source_begin"] + d, similarity), strict=True):
@@ -235,17 +234,18 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
 
     Null ids and null, empty or shorter texts give no rows. Rows that share an
     id are taken as one document. Passages repeated within one document only are
-    not reported. Words are compared by 32 bits of their hash. Other columns are ignored.
+    not reported. Words are compared by 16 bits of their
+    hash, but only runs of ``n`` or more equal ones count. Other columns are ignored.
     """
     width = min_words - n + 1
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= 2 * min_words - 1))
     seen = base.mapInArrow(_signatures(n, width), "signature long, id long").groupBy("signature").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     slot = F.shiftrightunsigned("signature", 64 - FILTER_BITS)
     bit = F.call_function("shiftleft", F.expr("1L"), F.pmod(slot, F.lit(64)).cast("int"))
-    filled = seen.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()  # 2**18 rows at most
-    regions = base.mapInArrow(
-        _regions(n, width, {r["at"]: r["bits"] for r in filled}), "id long, begin long, words binary, signatures array<long>, anchors array<long>"
-    )
+    rows = seen.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2**21 rows at most
+    filled = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    filled[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    regions = base.mapInArrow(_regions(n, width, filled), "id long, begin long, words binary, signatures array<long>, anchors array<long>")
     regions = materialize(regions, "passage-regions")
     cell = regions.select("id", "begin", F.explode(F.arrays_zip("signatures", "anchors")).alias("c")).select("id", "begin", F.col("c.signatures").alias("signature"), F.col("c.anchors").alias("anchor"))
     firsts = cell.groupBy("signature").agg(F.min(F.struct("id", "begin", "anchor")).alias("first"), F.max("id").alias("hi")).where("first.id < hi")
@@ -254,11 +254,19 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
         cell.join(firsts, "signature")
         .where("id <> source_id")
         .groupBy("id", "begin", "source_id", "source_begin")
-        .agg(F.collect_set(F.col("anchor") - F.col("source_anchor")).alias("shifts"))
+        .agg(F.collect_set(F.col("anchor") - F.col("source_anchor")).alias("shifts"), *[f(c).alias(f"{k}_{c}") for c in ("anchor", "source_anchor") for k, f in (("lo", F.min), ("hi", F.max))])
     )
     text = regions.groupBy("id", "begin").agg(F.first("words").alias("words"))
     source = text.select(F.col("id").alias("source_id"), F.col("begin").alias("source_begin"), F.col("words").alias("source_words"))
-    checked = pairs.join(text, ["id", "begin"]).join(source, ["source_id", "source_begin"])
+
+    def cut(df: DataFrame, side: str) -> DataFrame:
+        """Only the words around the anchors of the pair: all subsequences with its signatures lie there."""
+        begin, lo, hi = (F.col(f"{side}begin"), F.col(f"lo_{side}anchor"), F.col(f"hi_{side}anchor"))
+        first = F.greatest(begin, lo - 2 * min_words)
+        words = F.substring(F.col(f"{side}words"), (2 * (first - begin) + 1).cast("int"), (2 * (hi + 2 * min_words - first)).cast("int"))
+        return df.withColumns({f"{side}words": words, f"{side}begin": first})
+
+    checked = cut(cut(pairs.join(text, ["id", "begin"]), "").join(source, ["source_id", "source_begin"]), "source_")
     checked = checked.select("id", "begin", "words", "source_id", "source_begin", "source_words", "shifts")
     found = checked.mapInArrow(_verify(n, min_words, threshold), ", ".join(f"{f.name} {'double' if f.name == 'similarity' else 'long'}" for f in _FOUND))
     return found.distinct()
