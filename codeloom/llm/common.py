@@ -86,18 +86,36 @@ def range_bounds(df: DataFrame, cols: Sequence[str], n: int) -> list[tuple]:
     return sorted(tuple(r["first"]) for r in firsts)[1:n]
 
 
+#: Bounds up to which a range is found by nested CASE; more are searched for in an array.
+_MOST_CASES = 512
+
+
 def range_bucket(cols: Sequence[Column], bounds: list[tuple]) -> Column:
-    """The number of ``bounds`` that are not above ``cols``: a binary search written as nested CASE."""
+    """The number of ``bounds`` that are not above ``cols``, by binary search."""
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
+    bound = [F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(b)]) for b in bounds]
 
     def search(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
-        bound = F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(bounds[mid])])
-        return F.when(key < bound, search(low, mid)).otherwise(search(mid + 1, high))
-
-    return search(0, len(bounds))
+        return F.when(key < bound[mid], search(low, mid)).otherwise(search(mid + 1, high))
+
+    if len(bounds) <= _MOST_CASES:
+        return search(0, len(bounds))
+    sorted_bounds = F.array(*bound)  # one constant
+
+    def halve(state: Column, _: Column) -> Column:
+        mid = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        above = key < F.get(sorted_bounds, mid)
+        done = state["low"] >= state["high"]
+        return F.struct(
+            F.when(done | above, state["low"]).otherwise(mid + 1).alias("low"),
+            F.when(~done & above, mid).otherwise(state["high"]).alias("high"),
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve)["low"]
 
 
 def global_prefix(df: DataFrame, order: Sequence[str], value: str, out: str, n: int) -> DataFrame:

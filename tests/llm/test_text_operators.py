@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import components, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, mixing, quality, substring_dedup, tokens, url_filter, warc, zip_archive
+from codeloom.llm import common, components, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, mixing, quality, substring_dedup, tokens, url_filter, warc, zip_archive
 
 DOC = "doc_id long, text string, lang string, source string"
 
@@ -81,6 +81,24 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+# ranges
+
+
+@pytest.mark.parametrize("most", [512, 2])
+def test_range_buckets_and_running_totals(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "_MOST_CASES", most)
+    bounds = [(3, "b"), (3, "d"), (7, "")]
+    df = spark.createDataFrame([(i, c) for i in range(10) for c in "abcde"], "i int, c string")
+    for r in df.select("i", "c", common.range_bucket([F.col("i"), F.col("c")], bounds).alias("b")).collect():
+        assert r.b == sum(b <= (r.i, r.c) for b in bounds)
+    rows = [(i % 7, i, i * 3 % 11) for i in range(300)]
+    got = common.global_prefix(spark.createDataFrame(rows, "k int, i int, v int").repartition(5), ["k", "i"], "v", "upto", 9).collect()
+    total = 0
+    for r in sorted(got):
+        total += r.v
+        assert r.upto == total
+
+
 # 3: urls
 
 
