@@ -61,7 +61,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_c
     drops = materialize(drops, "line-drops")
     hit, at, text_hash, lines = (fresh(docs.columns, c) for c in ("drops", "dropped_id", "text_hash", "lines"))
     drops = drops.select(F.col("id").alias(at), F.col("text_hash").alias(f"{text_hash}_r"), F.col("drops").alias(hit))
-    joined = docs.withColumn(text_hash, F.xxhash64(text_col)).join(drops, (F.col(id_col) == F.col(at)) & (F.col(text_hash) == F.col(f"{text_hash}_r")), "left")
+    joined = docs.withColumn(text_hash, F.xxhash64(text_col)).join(drops.hint("merge"), (F.col(id_col) == F.col(at)) & (F.col(text_hash) == F.col(f"{text_hash}_r")), "left")
     joined = joined.withColumn(lines, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
     kept = F.when(F.col(hit).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(
         F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col(hit), i)), "\n")

@@ -238,9 +238,12 @@ def classify(docs: DataFrame, model: Classifier | None, *, id_col: str = "doc_id
 
 
 def drop_rejected(docs: DataFrame, judged: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``classify`` rejected (same id and text)."""
+    """``docs`` without the rows that ``classify`` rejected (same id and text).
+
+    The rejected grow with the input, so the join sorts and merges at any size.
+    """
     hash_, id_, keep = fresh(docs.columns, "text_hash"), fresh(docs.columns, "rejected_id"), fresh(docs.columns, "keep")
     rejected = judged.where("NOT keep").select(F.col("id").alias(id_), F.col("text_hash").alias(keep)).distinct()
     rejected = materialize(rejected, "quality-rejected")
     marked = docs.withColumn(hash_, F.xxhash64(text_col))
-    return marked.join(rejected, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(keep)), "left_anti").drop(hash_)
+    return marked.join(rejected.hint("merge"), F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(keep)), "left_anti").drop(hash_)
