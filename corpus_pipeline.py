@@ -35,7 +35,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     gone = fresh(docs.columns, "gone_id")
     ids = materialize(ids.select(F.col("doc_id").alias(gone)).distinct(), name)
-    return docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti")
+    return docs.join(ids.hint("merge"), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
