@@ -18,6 +18,8 @@ FILTER_BITS = 27
 BANDS = 3
 #: Words sent along on either side, into which a passage with edits may go on.
 MARGIN = 24
+#: Pairs of equal n-grams of two stretches that are held at once.
+_SLICE = 1 << 20
 _AT_BITS = 26
 _AT = np.uint64((1 << _AT_BITS) - 1)
 
@@ -149,16 +151,45 @@ def _regions(n: int, width: int, filled: np.ndarray):
     return run
 
 
-def matching_passages(own: np.ndarray, other: np.ndarray, shifts: list[int], n: int, least: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` words."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for i in range(n):
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out += words[i : i + len(out)]
+    return mix(out)
+
+
+def shared_shifts(own: np.ndarray, other: np.ndarray, n: int) -> list[int]:
+    """Own position less other position of all pairs of equal ``n``-grams, ascending."""
+    a, b = _grams(own, n), _grams(other, n)
+    at = np.argsort(b, kind="stable")
+    b = b[at]
+    low, high = np.searchsorted(b, a), np.searchsorted(b, a, "right")
+    hit = np.flatnonzero(high > low)
+    ends = np.cumsum((high - low)[hit])
+    found, begin = np.zeros(0, np.int64), 0
+    while begin < len(hit):  # in slices, for words that repeat themselves
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + _SLICE, "right")))
+        part = hit[begin:end]
+        count = high[part] - low[part]
+        place = np.arange(count.sum()) + np.repeat(low[part] - (np.cumsum(count) - count), count)
+        found = np.union1d(found, np.repeat(part, count) - at[place])
+        begin = end
+    return found.tolist()
+
+
+def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
     """(begin, end, other begin, other end, similarity) of passages of at least ``least`` words of ``own`` that ``other`` has nearly alike.
 
-    Words are compared along the ``shifts`` (own position less other position). Runs of at least ``n`` equal words
+    Words are compared along every shift at which an ``n``-gram is shared. Runs of at least ``n`` equal words
     are chained while the gap on either side is at most ``n`` words; a chain
     counts if its n-grams have Jaccard similarity ``threshold`` with those of
     the other side's stretch, and failing that, each of its runs does if long enough alone.
     """
     runs = []
-    for shift in shifts:
+    for shift in shared_shifts(own, other, n):
         low, high = max(0, shift), min(len(own), len(other) + shift)
         if high - low < n:
             continue
@@ -207,8 +238,7 @@ def _verify(n: int, least: int, threshold: float):
             out: dict[str, list] = {f.name: [] for f in _FOUND}
             for row in batch.to_pylist():
                 own, other = np.frombuffer(row["words"], np.uint16), np.frombuffer(row["source_words"], np.uint16)
-                offset = row["begin"] - row["source_begin"]
-                for a, b, c, d, similarity in matching_passages(own, other, sorted(s - offset for s in row["shifts"]), n, least, threshold):
+                for a, b, c, d, similarity in matching_passages(own, other, n, least, threshold):
                     for k, v in zip(out, (row["id"], row["begin"] + a, row["begin"] + b, row["source_id"], row["source_begin"] + c, row["source_begin"] + d, similarity), strict=True):
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, _FOUND)
@@ -254,7 +284,7 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
         cell.join(firsts, "signature")
         .where("id <> source_id")
         .groupBy("id", "begin", "source_id", "source_begin")
-        .agg(F.collect_set(F.col("anchor") - F.col("source_anchor")).alias("shifts"), *[f(c).alias(f"{k}_{c}") for c in ("anchor", "source_anchor") for k, f in (("lo", F.min), ("hi", F.max))])
+        .agg(*[f(c).alias(f"{k}_{c}") for c in ("anchor", "source_anchor") for k, f in (("lo", F.min), ("hi", F.max))])
     )
     text = regions.groupBy("id", "begin").agg(F.first("words").alias("words"))
     source = text.select(F.col("id").alias("source_id"), F.col("begin").alias("source_begin"), F.col("words").alias("source_words"))
@@ -267,6 +297,6 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
         return df.withColumns({f"{side}words": words, f"{side}begin": first})
 
     checked = cut(cut(pairs.join(text, ["id", "begin"]), "").join(source, ["source_id", "source_begin"]), "source_")
-    checked = checked.select("id", "begin", "words", "source_id", "source_begin", "source_words", "shifts")
+    checked = checked.select("id", "begin", "words", "source_id", "source_begin", "source_words")
     found = checked.mapInArrow(_verify(n, min_words, threshold), ", ".join(f"{f.name} {'double' if f.name == 'similarity' else 'long'}" for f in _FOUND))
     return found.distinct()

@@ -304,6 +304,15 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_passages_on_every_shift():
+    code = np.random.default_rng(5).permutation(60_000).astype(np.uint16)
+    own, other = code[:160], np.concatenate((code[1000:1040], code[50:80], code[2000:2001], code[80:110], code[3000:3040]))
+    assert substring_dedup.shared_shifts(own, other, 5) == [9, 10]
+    assert [m[:4] for m in substring_dedup.matching_passages(own, other, 5, 50, 0.8)] == [(50, 110, 40, 101)]
+    looped = np.tile(code[:7], 30)
+    assert substring_dedup.shared_shifts(looped, looped[:100], 5) == list(range(-91, 204, 7))
+
+
 # 9: archives
 
 
