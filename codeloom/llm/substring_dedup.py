@@ -16,8 +16,6 @@ from .tokens import chunks, hash_words, mix, shingles
 FILTER_BITS = 27
 #: Pairs of hash functions whose windows are joined. At similarity 0.8 one pair meets with probability 0.64, one of three with 0.95.
 BANDS = 3
-#: Words sent along on either side, into which a passage with edits may go on.
-MARGIN = 24
 #: Pairs of equal n-grams of two stretches that are held at once.
 _SLICE = 1 << 20
 _AT_BITS = 26
@@ -112,7 +110,7 @@ def _signatures(n: int, width: int):
     return run
 
 
-def _regions(n: int, width: int, filled: np.ndarray):
+def _regions(n: int, width: int, margin: int, filled: np.ndarray):
     shift, low = np.uint64(64 - FILTER_BITS), np.uint64(63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +130,7 @@ def _regions(n: int, width: int, filled: np.ndarray):
                 cell = cell[:, np.argsort(cell[2], kind="stable")]
                 row = np.searchsorted(at, cell[2], "right") - 1
                 stop = cell[3] + width + n - 1 - at[row] + ptr[row]  # past the last word of the last subsequence
-                start, stop = np.maximum(ptr[row], cell[2] - at[row] + ptr[row] - MARGIN), np.minimum(ptr[row + 1], stop + MARGIN)
+                start, stop = np.maximum(ptr[row], cell[2] - at[row] + ptr[row] - margin), np.minimum(ptr[row + 1], stop + margin)
                 reach = np.maximum.accumulate(stop)
                 cut = np.flatnonzero(np.concatenate(([True], (start[1:] > reach[:-1]) | (row[1:] != row[:-1]))))
                 edges = [*cut.tolist(), len(start)]
@@ -184,9 +182,12 @@ def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, th
     """(begin, end, other begin, other end, similarity) of passages of at least ``least`` words of ``own`` that ``other`` has nearly alike.
 
     Words are compared along every shift at which an ``n``-gram is shared. Runs of at least ``n`` equal words
-    are chained while the gap on either side is at most ``n`` words; a chain
-    counts if its n-grams have Jaccard similarity ``threshold`` with those of
-    the other side's stretch, and failing that, each of its runs does if long enough alone.
+    are chained in order over gaps of any length; a chain counts if its n-grams have Jaccard similarity
+    ``threshold`` with those of the other side's stretch. Chains within longer ones
+    that count are left out. A passage begins and ends with equal words.
+
+    With S shared of A and B n-grams, S / (A + B - S) >= t is S (1 - t) - t (A - S) - t (B - S) >= 0: a sum
+    over runs and gaps, so the best chain from each run to each other one is found by going through the runs once.
     """
     runs = []
     for shift in shared_shifts(own, other, n):
@@ -195,38 +196,35 @@ def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, th
             continue
         same = np.concatenate(([0], (own[low:high] == other[low - shift : high - shift]).astype(np.int8), [0]))
         edge = np.flatnonzero(np.diff(same))
-        runs += [(low + a, low + b, shift) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= n]
-    runs.sort(key=lambda r: (r[0], -r[1]))
-    chains: list[list[tuple[int, int, int]]] = []
-    for begin, end, shift in runs:
-        if chains:
-            last = chains[-1][-1]
-            if end <= last[1]:
-                continue
-            gap_own, gap_other = begin - last[1], (begin - shift) - (last[1] - last[2])
-            if -n < gap_own <= n and -n < gap_other <= n:
-                chains[-1].append((begin, end, shift))
-                continue
-        chains.append([(begin, end, shift)])
-    out = []
-    for chain in chains:
-        for part in [chain, *([[r] for r in chain] if len(chain) > 1 else [])]:
-            begin, end = part[0][0], max(r[1] for r in part)
-            o_begin, o_end = min(r[0] - r[2] for r in part), max(r[1] - r[2] for r in part)
-            if end - begin < least or o_end - o_begin < least:
-                continue
-            shared, upto = 0, -1
-            for a, b, _ in part:
-                a = max(a, upto)
-                shared += max(0, b - a - n + 1)
-                upto = max(upto, b - n + 1)
-            both = (end - begin - n + 1) + (o_end - o_begin - n + 1)
-            similarity = shared / (both - shared)
-            if similarity >= threshold:
-                out.append((begin, end, o_begin, o_end, similarity))
-                if part is chain:
-                    break
-    return out
+        runs += [(low + a, low + a - shift, b - a - n + 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= n]
+    if not runs:
+        return []
+    # own begin, other begin and number of n-grams of each run; those within a longer one on both sides go
+    kept = np.zeros((0, 3), np.int64)
+    for run in sorted(runs, key=lambda r: (-r[2], abs(r[0] - r[1]), r[0])):
+        if not ((kept[:, :2] <= run[:2]) & (kept[:, :2] + kept[:, 2:] >= np.array(run[:2]) + run[2])).all(axis=1).any():
+            kept = np.append(kept, [run], axis=0)
+    kept = kept[np.lexsort((kept[:, 1], kept[:, 0]))]
+    size, ends = kept[:, 2], kept[:, :2] + kept[:, 2:]
+    best = np.full((len(kept), len(kept)), -np.inf)  # from run, to run
+    for e in range(len(kept)):
+        best[e, e] = (1 - threshold) * size[e]
+        over = np.maximum(0, (ends[:e] - kept[e, :2]).max(axis=1))  # n-grams that the run before has taken
+        before = np.flatnonzero((over < size[e]) & (kept[:e, :2] < kept[e, :2]).all(axis=1))
+        if len(before):
+            gaps = (kept[e, :2] - ends[before]).sum(axis=1) + 2 * over[before]
+            best[:e, e] = (best[:e, before] + (1 - threshold) * (size[e] - over[before]) - threshold * gaps).max(axis=1)
+    spans = ends[None, :, :] - kept[:, None, :2]  # n-grams of either side
+    first, last = np.nonzero((best >= -1e-9) & (spans.min(axis=2) + n - 1 >= least))
+    out: list[tuple[int, int, int, int, float]] = []
+    for s, e in sorted(zip(first.tolist(), last.tolist(), strict=True), key=lambda c: (-int(spans[c].sum()), c)):
+        begin, o_begin = kept[s, :2].tolist()
+        end, o_end = (ends[e] + n - 1).tolist()
+        if not any(a <= begin and end <= b and c <= o_begin and o_end <= d for a, b, c, d, _ in out):
+            both = int(spans[s, e].sum())
+            shared = round((best[s, e] + threshold * both) / (1 + threshold))
+            out.append((begin, end, o_begin, o_end, shared / (both - shared)))
+    return sorted(out)
 
 
 _FOUND = pa.schema([(c, pa.int64()) for c in ("doc_id", "begin", "end", "source_doc_id", "source_begin", "source_end")] + [("similarity", pa.float64())])
@@ -268,6 +266,8 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
     hash, but only runs of ``n`` or more equal ones count. Other columns are ignored.
     """
     width = min_words - n + 1
+    # words sent along on either side: a run too short to be found alone, past the longest gap that a chain can bridge
+    margin = min_words + int(2 * width * (1 - threshold) / threshold)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= 2 * min_words - 1))
     seen = base.mapInArrow(_signatures(n, width), "signature long, id long").groupBy("signature").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     slot = F.shiftrightunsigned("signature", 64 - FILTER_BITS)
@@ -275,7 +275,7 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
     rows = seen.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2**21 rows at most
     filled = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     filled[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    regions = base.mapInArrow(_regions(n, width, filled), "id long, begin long, words binary, signatures array<long>, anchors array<long>")
+    regions = base.mapInArrow(_regions(n, width, margin, filled), "id long, begin long, words binary, signatures array<long>, anchors array<long>")
     regions = materialize(regions, "passage-regions")
     cell = regions.select("id", "begin", F.explode(F.arrays_zip("signatures", "anchors")).alias("c")).select("id", "begin", F.col("c.signatures").alias("signature"), F.col("c.anchors").alias("anchor"))
     firsts = cell.groupBy("signature").agg(F.min(F.struct("id", "begin", "anchor")).alias("first"), F.max("id").alias("hi")).where("first.id < hi")
@@ -292,8 +292,8 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
     def cut(df: DataFrame, side: str) -> DataFrame:
         """Only the words around the anchors of the pair: all subsequences with its signatures lie there."""
         begin, lo, hi = (F.col(f"{side}begin"), F.col(f"lo_{side}anchor"), F.col(f"hi_{side}anchor"))
-        first = F.greatest(begin, lo - 2 * min_words)
-        words = F.substring(F.col(f"{side}words"), (2 * (first - begin) + 1).cast("int"), (2 * (hi + 2 * min_words - first)).cast("int"))
+        first = F.greatest(begin, lo - min_words - margin)
+        words = F.substring(F.col(f"{side}words"), (2 * (first - begin) + 1).cast("int"), (2 * (hi + min_words + margin - first)).cast("int"))
         return df.withColumns({f"{side}words": words, f"{side}begin": first})
 
     checked = cut(cut(pairs.join(text, ["id", "begin"]), "").join(source, ["source_id", "source_begin"]), "source_")

@@ -313,6 +313,14 @@ def test_passages_on_every_shift():
     assert substring_dedup.shared_shifts(looped, looped[:100], 5) == list(range(-91, 204, 7))
 
 
+@pytest.mark.parametrize(("length", "cut", "resume", "edit", "similarity"), [(98, 49, 49, 8, 90 / 106), (100, 47, 53, 6, 86 / 106), (98, 49, 49, 14, 90 / 112), (98, 49, 49, 15, None), (60, 30, 31, 1, 51 / 61)])
+def test_passages_chain_over_any_gap(length, cut, resume, edit, similarity):
+    code = np.random.default_rng(6).permutation(60_000).astype(np.uint16)
+    own, other = code[:length], np.concatenate((code[1000:1020], code[:cut], code[2000 : 2000 + edit], code[resume:length], code[3000:3020]))
+    got = substring_dedup.matching_passages(own, other, 5, 50, 0.8)
+    assert got == ([(0, length, 20, 20 + cut + edit + length - resume, pytest.approx(similarity))] if similarity else [])
+
+
 # 9: archives
 
 
