@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -16,6 +16,8 @@ from .tokens import chunks, hash_words, mix, shingles
 FILTER_BITS = 27
 #: Pairs of hash functions whose windows are joined. At similarity 0.8 one pair meets with probability 0.64, one of three with 0.95.
 BANDS = 3
+#: Members of a signature that are searched for a partner in one go.
+BLOCK = 1024
 #: Pairs of equal n-grams of two stretches that are held at once.
 _SLICE = 1 << 20
 _AT_BITS = 26
@@ -158,24 +160,35 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def shared_shifts(own: np.ndarray, other: np.ndarray, n: int) -> list[int]:
-    """Own position less other position of all pairs of equal ``n``-grams, ascending."""
+def shared_runs(own: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
+    """(own begin, other begin, number of ``n``-grams) of all longest runs of equal words that hold ``n``-grams, in order of shift and place."""
     a, b = _grams(own, n), _grams(other, n)
     at = np.argsort(b, kind="stable")
     b = b[at]
     low, high = np.searchsorted(b, a), np.searchsorted(b, a, "right")
     hit = np.flatnonzero(high > low)
     ends = np.cumsum((high - low)[hit])
-    found, begin = np.zeros(0, np.int64), 0
+    shifts, firsts, sizes, begin = [], [], [], 0
     while begin < len(hit):  # in slices, for words that repeat themselves
         done = ends[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(ends, done + _SLICE, "right")))
         part = hit[begin:end]
         count = high[part] - low[part]
-        place = np.arange(count.sum()) + np.repeat(low[part] - (np.cumsum(count) - count), count)
-        found = np.union1d(found, np.repeat(part, count) - at[place])
+        place = np.repeat(part, count)
+        key = (place - at[np.arange(count.sum()) + np.repeat(low[part] - (np.cumsum(count) - count), count)] << 32) + place
+        key.sort()
+        cut = np.flatnonzero(np.diff(key, prepend=key[0] - 2) != 1)
+        shifts.append(key[cut] >> 32)
+        firsts.append(key[cut] & 0xFFFFFFFF)
+        sizes.append(np.diff(cut, append=len(key)))
         begin = end
-    return found.tolist()
+    if not shifts:
+        return np.zeros((0, 3), np.int64)
+    shift, first, size = (np.concatenate(x) for x in (shifts, firsts, sizes))
+    order = np.lexsort((first, shift))
+    shift, first, size = shift[order], first[order], size[order]
+    joined = np.flatnonzero(np.concatenate(([True], (shift[1:] != shift[:-1]) | (first[1:] != first[:-1] + size[:-1]))))
+    return np.stack([first[joined], first[joined] - shift[joined], np.add.reduceat(size, joined)], axis=1)
 
 
 def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
@@ -183,27 +196,24 @@ def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, th
 
     Words are compared along every shift at which an ``n``-gram is shared. Runs of at least ``n`` equal words
     are chained in order over gaps of any length; a chain counts if its n-grams have Jaccard similarity
-    ``threshold`` with those of the other side's stretch. Chains within longer ones
-    that count are left out. A passage begins and ends with equal words.
+    ``threshold`` with those of the other side's stretch. Chains whose own words lie within those of a longer one
+    that counts are left out. A passage begins and ends with equal words.
 
     With S shared of A and B n-grams, S / (A + B - S) >= t is S (1 - t) - t (A - S) - t (B - S) >= 0: a sum
     over runs and gaps, so the best chain from each run to each other one is found by going through the runs once.
     """
-    runs = []
-    for shift in shared_shifts(own, other, n):
-        low, high = max(0, shift), min(len(own), len(other) + shift)
-        if high - low < n:
-            continue
-        same = np.concatenate(([0], (own[low:high] == other[low - shift : high - shift]).astype(np.int8), [0]))
-        edge = np.flatnonzero(np.diff(same))
-        runs += [(low + a, low + a - shift, b - a - n + 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= n]
-    if not runs:
+    runs = shared_runs(own, other, n)
+    if not len(runs):
         return []
-    # own begin, other begin and number of n-grams of each run; those within a longer one on both sides go
-    kept = np.zeros((0, 3), np.int64)
-    for run in sorted(runs, key=lambda r: (-r[2], abs(r[0] - r[1]), r[0])):
-        if not ((kept[:, :2] <= run[:2]) & (kept[:, :2] + kept[:, 2:] >= np.array(run[:2]) + run[2])).all(axis=1).any():
-            kept = np.append(kept, [run], axis=0)
+    # those within a longer one on both sides go
+    runs = runs[np.lexsort((runs[:, 0], np.abs(runs[:, 0] - runs[:, 1]), -runs[:, 2]))]
+    ends, rest, chosen = runs[:, :2] + runs[:, 2:], np.arange(len(runs)), []
+    while len(rest):
+        k = rest[0]
+        chosen.append(k)
+        rest = rest[1:]
+        rest = rest[((runs[rest, :2] < runs[k, :2]) | (ends[rest] > ends[k])).any(axis=1)]
+    kept = runs[chosen]
     kept = kept[np.lexsort((kept[:, 1], kept[:, 0]))]
     size, ends = kept[:, 2], kept[:, :2] + kept[:, 2:]
     best = np.full((len(kept), len(kept)), -np.inf)  # from run, to run
@@ -211,19 +221,27 @@ def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, th
         best[e, e] = (1 - threshold) * size[e]
         over = np.maximum(0, (ends[:e] - kept[e, :2]).max(axis=1))  # n-grams that the run before has taken
         before = np.flatnonzero((over < size[e]) & (kept[:e, :2] < kept[e, :2]).all(axis=1))
+        # a run that fits between two others makes the chain through it better than the one past it
+        for q in before[over[before] == 0][np.argsort(-kept[before[over[before] == 0], :2].sum(axis=1), kind="stable")[:8]]:
+            before = before[(ends[before] > kept[q, :2]).any(axis=1)]
         if len(before):
             gaps = (kept[e, :2] - ends[before]).sum(axis=1) + 2 * over[before]
             best[:e, e] = (best[:e, before] + (1 - threshold) * (size[e] - over[before]) - threshold * gaps).max(axis=1)
-    spans = ends[None, :, :] - kept[:, None, :2]  # n-grams of either side
-    first, last = np.nonzero((best >= -1e-9) & (spans.min(axis=2) + n - 1 >= least))
-    out: list[tuple[int, int, int, int, float]] = []
-    for s, e in sorted(zip(first.tolist(), last.tolist(), strict=True), key=lambda c: (-int(spans[c].sum()), c)):
-        begin, o_begin = kept[s, :2].tolist()
-        end, o_end = (ends[e] + n - 1).tolist()
-        if not any(a <= begin and end <= b and c <= o_begin and o_end <= d for a, b, c, d, _ in out):
-            both = int(spans[s, e].sum())
-            shared = round((best[s, e] + threshold * both) / (1 + threshold))
-            out.append((begin, end, o_begin, o_end, shared / (both - shared)))
+    first, last = np.nonzero(best >= -1e-9)
+    spans = ends[last] - kept[first, :2]  # n-grams of either side
+    long_ = spans.min(axis=1) + n - 1 >= least
+    first, last, total = first[long_], last[long_], spans[long_].sum(axis=1)
+    order = np.lexsort((kept[first, 1], kept[first, 0], -total))
+    first, last, total = first[order], last[order], total[order]
+    begin, end = kept[first, 0], ends[last, 0]
+    out, rest = [], np.arange(len(first))
+    while len(rest):
+        k = rest[0]
+        s, e = first[k], last[k]
+        both = int(total[k])
+        shared = round((best[s, e] + threshold * both) / (1 + threshold))
+        out.append((int(begin[k]), int(end[k] + n - 1), int(kept[s, 1]), int(ends[e, 1] + n - 1), shared / (both - shared)))
+        rest = rest[(begin[rest] < begin[k]) | (end[rest] > end[k])]
     return sorted(out)
 
 
@@ -244,20 +262,60 @@ def _verify(n: int, least: int, threshold: float):
     return run
 
 
+def _partners(n: int, least: int, threshold: float):
+    width = least - n + 1
+    need = int(np.ceil(2 * width * threshold / (1 + threshold) - 1e-9))  # n-grams that any passage shares with its source
+
+    def run(table: pa.Table) -> pa.Table:
+        """For each open member, the first of the others in an earlier document that holds a passage of it."""
+        is_open, ids, begin, region = (table[c].to_numpy() for c in ("open", "id", "begin", "region"))
+        lo, hi = table["lo_anchor"].to_numpy(), table["hi_anchor"].to_numpy()
+        words = [np.frombuffer(w.as_buffer(), np.uint16) for w in table["words"]]
+        others = np.flatnonzero(~is_open)
+        others = others[np.lexsort((region[others], ids[others]))]
+        out: dict[str, list] = {c: [] for c in ("id", "begin", "anchor", "source_id", "source_begin", "source_anchor")}
+        sets = [np.unique(_grams(words[k], n)) for k in others.tolist()]
+        grams, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(others)), [len(x) for x in sets])
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], owner[order]
+        for m in np.flatnonzero(is_open).tolist():
+            own, times = np.unique(_grams(words[m], n), return_counts=True)
+            low, high = np.searchsorted(grams, own), np.searchsorted(grams, own, "right")
+            held = high - low
+            at = np.arange(held.sum()) + np.repeat(low - (np.cumsum(held) - held), held)
+            shared = np.bincount(owner[at], weights=np.repeat(times, held), minlength=len(others))
+            pending = set(table["open_anchors"][m].as_py())
+            for k in others[(shared >= need) & (ids[others] < ids[m])].tolist():
+                found = matching_passages(words[m], words[k], n, least, threshold)
+                met = {x for x in pending if any(begin[m] + p[0] <= x and x + n <= begin[m] + p[1] for p in found)}
+                if met:
+                    for anchor, source_anchor in ((lo[m], lo[k]), (hi[m], hi[k])):
+                        for c, v in zip(out, (ids[m], region[m], anchor, ids[k], region[k], source_anchor), strict=True):
+                            out[c].append(int(v))
+                    pending -= met
+                    if not pending:
+                        break
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+
+    return run
+
+
 def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, begin, end, source_doc_id, source_begin, source_end, similarity): passages that a document shares with an earlier one.
 
     A passage has at least ``min_words`` words, and its word ``n``-grams have Jaccard similarity
     ``threshold`` or more with the source's. Positions count words; the source is the least id that
-    shares the signature, so the members of a group each name its first
-    document and no pair between members is made. Copies of documents are passages too.
+    shares the signature and, where that one does not hold the passage, the least that does of the others before the
+    document: not each pair of a group is reported, but each member that holds a passage of an earlier one. Copies of documents are passages too.
 
     Each subsequence of ``min_words`` words has, per band, a signature of two min-hashes over
     its n-grams; compact windows group the subsequences that share it, about four per
     ``min_words`` words and band. Signatures are aggregated over all documents (map-side first); those of two
     documents or more set a filter of fixed size, and a second reading sends on
     only the stretches of words under such signatures. Members are joined to
-    their group's first by signature, stretches are compared word by word. Texts are never
+    their group's first by signature, stretches are compared word by word. Members that no passage found so far
+    covers are compared with all earlier ones of the signature that share n-grams enough, until one holds the passage, in
+    pairs of blocks of ``BLOCK`` members. Texts are never
     shuffled; a frequent passage is a join that the planner splits.
 
     Null ids and null, empty or shorter texts give no rows. Rows that share an
@@ -280,23 +338,51 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
     cell = regions.select("id", "begin", F.explode(F.arrays_zip("signatures", "anchors")).alias("c")).select("id", "begin", F.col("c.signatures").alias("signature"), F.col("c.anchors").alias("anchor"))
     firsts = cell.groupBy("signature").agg(F.min(F.struct("id", "begin", "anchor")).alias("first"), F.max("id").alias("hi")).where("first.id < hi")
     firsts = firsts.select("signature", F.col("first.id").alias("source_id"), F.col("first.begin").alias("source_begin"), F.col("first.anchor").alias("source_anchor"))
-    pairs = (
-        cell.join(firsts, "signature")
-        .where("id <> source_id")
-        .groupBy("id", "begin", "source_id", "source_begin")
-        .agg(*[f(c).alias(f"{k}_{c}") for c in ("anchor", "source_anchor") for k, f in (("lo", F.min), ("hi", F.max))])
-    )
+    pairs = cell.join(firsts, "signature").where("id <> source_id")
     text = regions.groupBy("id", "begin").agg(F.first("words").alias("words"))
     source = text.select(F.col("id").alias("source_id"), F.col("begin").alias("source_begin"), F.col("words").alias("source_words"))
 
     def cut(df: DataFrame, side: str) -> DataFrame:
-        """Only the words around the anchors of the pair: all subsequences with its signatures lie there."""
+        """Only the words around the anchors: all subsequences with their signatures lie there."""
         begin, lo, hi = (F.col(f"{side}begin"), F.col(f"lo_{side}anchor"), F.col(f"hi_{side}anchor"))
         first = F.greatest(begin, lo - min_words - margin)
         words = F.substring(F.col(f"{side}words"), (2 * (first - begin) + 1).cast("int"), (2 * (hi + min_words + margin - first)).cast("int"))
         return df.withColumns({f"{side}words": words, f"{side}begin": first})
 
-    checked = cut(cut(pairs.join(text, ["id", "begin"]), "").join(source, ["source_id", "source_begin"]), "source_")
-    checked = checked.select("id", "begin", "words", "source_id", "source_begin", "source_words")
-    found = checked.mapInArrow(_verify(n, min_words, threshold), ", ".join(f"{f.name} {'double' if f.name == 'similarity' else 'long'}" for f in _FOUND))
-    return found.distinct()
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        ends = [f(c).alias(f"{k}_{c}") for c in ("anchor", "source_anchor") for k, f in (("lo", F.min), ("hi", F.max))]
+        pairs = pairs.groupBy("id", "begin", "source_id", "source_begin").agg(*ends)
+        checked = cut(cut(pairs.join(text, ["id", "begin"]), "").join(source, ["source_id", "source_begin"]), "source_")
+        checked = checked.select("id", "begin", "words", "source_id", "source_begin", "source_words")
+        found = checked.mapInArrow(_verify(n, min_words, threshold), ", ".join(f"{f.name} {'double' if f.name == 'similarity' else 'long'}" for f in _FOUND))
+        return materialize(found, name)
+
+    found = compared(pairs, "passages-of-firsts")
+    # members that no passage covers yet, and all members of their signatures
+    held = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct(F.col("begin").alias("a"), F.col("end").alias("b"))).alias("held"))
+    left = regions.select("id", "begin", F.arrays_zip("signatures", "anchors").alias("c")).join(held, "id", "left")
+    covered = lambda c: F.exists("held", lambda h: (h["a"] <= c["anchors"]) & (c["anchors"] + n <= h["b"]))
+    left = left.select("id", "begin", F.explode(F.filter("c", lambda c: ~F.coalesce(covered(c), F.lit(False)))).alias("c"))
+    left = left.select("id", "begin", F.col("c.signatures").alias("signature"), F.col("c.anchors").alias("anchor"))
+    left = left.groupBy("signature", "id", "begin").agg(F.collect_set("anchor").alias("open_anchors"))
+    left = materialize(left.join(firsts.select("signature", "source_id"), "signature").where("id <> source_id").drop("source_id"), "passages-open")
+    members = cell.join(left.select("signature").distinct(), "signature", "left_semi")
+    members = members.groupBy("signature", "id", "begin").agg(F.min("anchor").alias("lo_anchor"), F.max("anchor").alias("hi_anchor"))
+    members = materialize(members.join(left, ["signature", "id", "begin"], "left").withColumn("open", F.col("open_anchors").isNotNull()), "passages-members")
+    # signatures with the same members are searched once
+    hashes = [F.bit_xor(F.xxhash64("id", "begin", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    alike = members.groupBy("signature").agg(F.count("*").alias("m"), *hashes, F.min("id").alias("lo"), F.max("id").alias("hi"))
+    alike = alike.withColumn("group", F.min("signature").over(Window.partitionBy("m", "x0", "x1", "lo", "hi"))).select("signature", "group")
+    members = members.join(alike, "signature").groupBy(F.col("group").alias("signature"), "id", "begin")
+    members = members.agg(F.min("lo_anchor").alias("lo_anchor"), F.max("hi_anchor").alias("hi_anchor"), F.max("open").alias("open"), F.array_distinct(F.flatten(F.collect_list("open_anchors"))).alias("open_anchors"))
+    members = materialize(members, "passages-groups")
+    sizes = members.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("open") / BLOCK).cast("int").alias("asking"))
+    members = members.join(sizes, "signature").withColumn("hash", F.xxhash64("id", "begin"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    asked = members.withColumn("block", F.pmod("hash", F.col("blocks")).cast("int")).withColumn("ask", every("asking")).withColumn("open", F.lit(False))
+    asking = members.where("open").withColumn("ask", F.pmod("hash", F.col("asking")).cast("int")).withColumn("block", every("blocks"))
+    columns = ["signature", "ask", "block", "open", "id", "begin", "lo_anchor", "hi_anchor", "open_anchors"]
+    sides = asked.select(columns).union(asking.select(columns)).withColumn("region", F.col("begin")).join(text, ["id", "begin"])
+    sides = cut(sides, "").select(*columns, "region", "words")
+    partners = sides.groupBy("signature", "ask", "block").applyInArrow(_partners(n, min_words, threshold), "id long, begin long, anchor long, source_id long, source_begin long, source_anchor long")
+    return found.union(compared(partners, "passages-of-others")).distinct()

@@ -304,13 +304,15 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(docs_of(spark, texts).limit(0)).count() == 0
 
 
-def test_passages_on_every_shift():
+def test_passages_on_every_shift(monkeypatch):
     code = np.random.default_rng(5).permutation(60_000).astype(np.uint16)
     own, other = code[:160], np.concatenate((code[1000:1040], code[50:80], code[2000:2001], code[80:110], code[3000:3040]))
-    assert substring_dedup.shared_shifts(own, other, 5) == [9, 10]
+    assert substring_dedup.shared_runs(own, other, 5).tolist() == [[80, 71, 26], [50, 40, 26]]
     assert [m[:4] for m in substring_dedup.matching_passages(own, other, 5, 50, 0.8)] == [(50, 110, 40, 101)]
     looped = np.tile(code[:7], 30)
-    assert substring_dedup.shared_shifts(looped, looped[:100], 5) == list(range(-91, 204, 7))
+    monkeypatch.setattr(substring_dedup, "_SLICE", 40)
+    runs = substring_dedup.shared_runs(looped, looped[:100], 5)
+    assert (runs[:, 0] - runs[:, 1]).tolist() == list(range(-91, 204, 7)) and runs[:, 2].max() == 96
 
 
 @pytest.mark.parametrize(("length", "cut", "resume", "edit", "similarity"), [(98, 49, 49, 8, 90 / 106), (100, 47, 53, 6, 86 / 106), (98, 49, 49, 14, 90 / 112), (98, 49, 49, 15, None), (60, 30, 31, 1, 51 / 61)])
@@ -321,6 +323,23 @@ def test_passages_chain_over_any_gap(length, cut, resume, edit, similarity):
     assert got == ([(0, length, 20, 20 + cut + edit + length - resume, pytest.approx(similarity))] if similarity else [])
 
 
+@pytest.mark.parametrize("block", [4096, 4])
+def test_passages_of_others_than_the_first(spark, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    texts, want = {}, set()
+    for case in range(6):
+        passage, at = words(60, 800 + case, 10**6), 100 * case
+        for i in range(20):  # each a variant below the threshold
+            variant = passage[:]
+            for k in random.Random(case * 100 + i).sample(range(3), 1):
+                variant[10 + k : 60 : 15] = words(len(variant[10 + k : 60 : 15]), 5000 + 100 * case + i, 10**6)
+            texts[at + i] = " ".join(words(60, 6000 + at + i) + variant + words(60, 7000 + at + i))
+        for i in (50, 51):
+            texts[at + i] = " ".join(words(60, 6000 + at + i) + passage + words(60, 7000 + at + i))
+        want.add((at + 51, at + 50))
+    assert want <= {(r.doc_id, r.source_doc_id) for r in substring_dedup.repeated_passages(docs_of(spark, texts)).collect()}
+
+
 # 9: archives
 
 
