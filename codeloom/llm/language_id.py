@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +21,8 @@ MOST_LANGUAGES = 64
 BLOCK = 2048
 _CHUNK = 4 << 20
 _UNKNOWN, _GAP, _FIRST = 0, 1, 2
+#: Letters that have a column in the tables; the steps of rarer ones are looked up in a sorted list.
+COMMON = 250
 _letters: list[np.ndarray] = []
 
 
@@ -31,8 +33,8 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def automaton(text: list[int], symbols: int) -> np.ndarray:
-    """Suffix automaton of ``text`` as a table [state, symbol] of next states, -1 where there is none.
+def automaton(text: list[int], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix automaton of ``text``: a table [state, symbol] of next states, -1 where there is none, and (state, symbol, next state) of symbols past the table.
 
     ``_UNKNOWN`` parts documents: no match goes across it.
     """
@@ -62,11 +64,15 @@ def automaton(text: list[int], symbols: int) -> np.ndarray:
                 link[q] = link[state] = clone
         last = state
     table = np.full((len(link), symbols), -1, np.int64)
+    rare = []
     for state, steps in enumerate(step):
         for c, to in steps.items():
-            table[state, c] = to
+            if c < symbols:
+                table[state, c] = to
+            else:
+                rare.append((state, c, to))
     table[:, _UNKNOWN] = -1
-    return table
+    return table, np.array(rare, np.int64).reshape(-1, 3)
 
 
 class Model:
@@ -74,17 +80,20 @@ class Model:
 
     def __init__(self, references: dict[str, list[str]]) -> None:
         self.languages = sorted(references)
-        alphabet = sorted({c for docs in references.values() for d in docs for c in d.lower() if c.isalpha()})[:250]
+        seen = Counter(c for docs in references.values() for d in docs for c in d.lower() if c.isalpha())
+        alphabet = sorted(seen, key=lambda c: (-seen[c], c))
         self.symbol = {c: i + _FIRST for i, c in enumerate(alphabet)}
-        self.width, self.size = len(alphabet) + _FIRST, []
+        self.width, self.size = min(len(alphabet), COMMON) + _FIRST, []
+        self.symbols = len(alphabet) + _FIRST
         tables, self.offsets = [], []
+        keys, values, self.missing = [], [], np.zeros((len(references), self.symbols - self.width), np.int64)
         at = 0
-        for language in self.languages:
+        for nth, language in enumerate(self.languages):
             text: list[int] = []
             for d in references[language]:
                 text += [*self._codes(d), _UNKNOWN]
             self.size.append(max(2, len(text)))
-            go = automaton(text, self.width)
+            go, rare = automaton(text, self.width)
             # a missing step ends the phrase and begins the next with the same symbol, or skips one never seen
             again = np.where(go[0] >= 0, go[0], 0)
             ends = np.where(go[0] >= 0, 1, 2)
@@ -92,9 +101,24 @@ class Model:
             phrases = np.where(go >= 0, 0, np.broadcast_to(ends, go.shape)).copy()
             phrases[0] = go[0] < 0
             tables.append(((at + following * self.width) << 2 | phrases).ravel())
+            keys.append((at + rare[:, 0] * self.width) * self.symbols + rare[:, 1])
+            values.append((at + rare[:, 2] * self.width) << 2)
+            self.missing[nth] = at << 2 | 2
+            first = rare[rare[:, 0] == 0]
+            self.missing[nth, first[:, 1] - self.width] = (at + first[:, 2] * self.width) << 2 | 1
             self.offsets.append(at)
             at += go.size
         self.table = np.concatenate(tables).astype(np.int32 if at < 1 << 29 else np.int64) if tables else np.zeros(0, np.int32)
+        key, value = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*values, np.zeros(0, np.int64)])
+        order = np.argsort(key)
+        self.rare_key, self.rare_value = np.append(key[order], np.iinfo(np.int64).max), np.append(value[order], 0)
+
+    def _rare(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """What the table would hold for [language, text] states and the texts' symbols, none of which has a column."""
+        key = state.astype(np.int64) * self.symbols + symbol
+        at = np.searchsorted(self.rare_key, key)
+        missing = self.missing[:, symbol - self.width] - (state == np.asarray(self.offsets)[:, None])  # at the root no phrase ends
+        return np.where(self.rare_key[at] == key, self.rare_value[at], missing)
 
     def _codes(self, text: str) -> list[int]:
         out: list[int] = []
@@ -112,10 +136,10 @@ class Model:
         points = np.frombuffer("".join(text.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
         row = np.repeat(np.arange(n), lengths)
         is_letter = letters()[points]
-        code = np.full(0x110000, _UNKNOWN, np.uint8)
+        code = np.full(0x110000, _UNKNOWN, np.int32)
         for c, s in self.symbol.items():
             code[ord(c)] = s
-        symbols = np.where(is_letter, code[points], np.uint8(_GAP))
+        symbols = np.where(is_letter, code[points], np.int32(_GAP))
         has_letter = np.bincount(row[is_letter], minlength=n) > 0
         keep = np.ones(len(symbols), bool)
         keep[1:] = (symbols[1:] != _GAP) | (symbols[:-1] != _GAP) | (row[1:] != row[:-1])
@@ -132,9 +156,16 @@ class Model:
         state = np.repeat(roots, len(width), axis=1)
         found = np.zeros(state.shape, np.int32)
         symbols = symbols.astype(self.table.dtype)
+        some_rare = bool((symbols >= self.width).any())
         active = np.searchsorted(-width, -np.arange(1, (width[0] if len(width) else 0) + 1), "right")
         for t, k in enumerate(active.tolist()):
-            got = self.table[state[:, :k] + symbols[begin[:k] + t]]
+            symbol = symbols[begin[:k] + t]
+            rare = np.flatnonzero(symbol >= self.width) if some_rare else ()
+            if len(rare):
+                got = self.table[state[:, :k] + np.where(symbol < self.width, symbol, _UNKNOWN)]
+                got[:, rare] = self._rare(state[:, rare], symbol[rare].astype(np.int64))
+            else:
+                got = self.table[state[:, :k] + symbol]
             found[:, :k] += got & 3
             np.right_shift(got, 2, out=state[:, :k])
         found += state != roots

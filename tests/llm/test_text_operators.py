@@ -408,6 +408,25 @@ def test_cross_parsing_equals_naive_matching():
         assert found[k].tolist() == [naive_phrases(t, refs[lang]) for t in texts]
 
 
+@pytest.mark.parametrize("common", [250, 3])
+def test_all_letters_of_large_alphabets_count(monkeypatch, common):
+    monkeypatch.setattr(language_id, "COMMON", common)
+    rng = random.Random(12)
+    alphabets = {"en": "abcdefghij", "ja": [chr(0x3041 + i) for i in range(80)], "ko": [chr(0xAC00 + 7 * i) for i in range(700)], "zh": [chr(0x4E00 + 5 * i) for i in range(1000)]}
+    pools = {k: ["".join(rng.choice(a) for _ in range(4)) for _ in range(400)] for k, a in alphabets.items()}
+    text_of = lambda k, n: "".join(rng.choice(pools[k]) for _ in range(n))
+    refs = {k: [text_of(k, 40) for _ in range(10 + 5 * i)] for i, k in enumerate(pools)}
+    model = language_id.Model(refs)
+    texts = [(k, text_of(k, 12)) for k in pools for _ in range(10)]
+    texts += [("", t[:9] + chr(0x9FFF) + u[:9]) for (_, t), (_, u) in zip(texts, reversed(texts), strict=True)]
+    found, count, _ = model.phrases(pa.array([t for _, t in texts]))
+    assert count.tolist() == [len(t) for _, t in texts]
+    for k, lang in enumerate(model.languages):
+        assert found[k].tolist() == [naive_phrases(t, refs[lang]) for _, t in texts]
+    labels, _ = model.predict(pa.array([t for _, t in texts]))
+    assert labels[:40] == [k for k, _ in texts[:40]]
+
+
 def test_language_id(spark):
     syllables = {"aa": ["ba", "bo", "bi"], "bb": ["ku", "ke", "ko"]}
     rng, rows = random.Random(11), []
