@@ -6,22 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import chunks, hash_words, mix, shingles
+from .tokens import chunks, hash_stretches, hash_words, mix, shingles
 
 #: The filter of repeated signatures that every task gets has 2**FILTER_BITS bits (16 MB), whatever the input.
 FILTER_BITS = 27
 #: Pairs of hash functions whose windows are joined. At similarity 0.8 one pair meets with probability 0.64, one of three with 0.95.
 BANDS = 3
-#: Members of a signature that are searched for a partner in one go.
-BLOCK = 1024
+#: Different stretches of a signature that are searched for partners in one go; larger groups are thinned out and cut into blocks.
+BLOCK = 4096
 #: Pairs of equal n-grams of two stretches that are held at once.
 _SLICE = 1 << 20
+#: Bits of a packed value that hold a position; more for longer texts.
 _AT_BITS = 26
-_AT = np.uint64((1 << _AT_BITS) - 1)
 
 
 def compact_windows(order: np.ndarray, centres: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +72,13 @@ def cells(grams: np.ndarray, at: np.ndarray, width: int) -> Iterator[tuple[np.nd
     for r in rows.tolist():
         valid[at[r] : at[r + 1] - width + 1] = True
     place = np.arange(len(grams), dtype=np.uint64)
+    low = np.uint64((1 << max(_AT_BITS, len(grams).bit_length())) - 1)
     starts_all = np.flatnonzero(valid)
 
     def windows(seed: int) -> tuple[np.ndarray, np.ndarray]:
         """First start of each window's group, ascending, and the window's centre."""
-        packed = mix(grams, 100 + seed) & ~_AT | place
-        least = (_sliding_least(packed, width)[valid] & _AT).astype(np.int64)
+        packed = mix(grams, 100 + seed) & ~low | place
+        least = (_sliding_least(packed, width)[valid] & low).astype(np.int64)
         fresh = np.flatnonzero(np.diff(least, prepend=-1))
         centres_all = np.unique(least[fresh])
         firsts, centres = [], []
@@ -112,6 +113,10 @@ def _signatures(n: int, width: int):
     return run
 
 
+#: A stretch of words under repeated signatures; for each of them its anchor, the words sent along before and after the anchor, and their hash.
+_REGION = {"id": pa.int64(), "begin": pa.int64(), "words": pa.binary()} | {c: pa.list_(t) for c, t in (("signatures", pa.int64()), ("anchors", pa.int64()), ("befores", pa.int32()), ("afters", pa.int32()), ("hashes", pa.int64()))}
+
+
 def _regions(n: int, width: int, margin: int, filled: np.ndarray):
     shift, low = np.uint64(64 - FILTER_BITS), np.uint64(63)
 
@@ -133,20 +138,21 @@ def _regions(n: int, width: int, margin: int, filled: np.ndarray):
                 row = np.searchsorted(at, cell[2], "right") - 1
                 stop = cell[3] + width + n - 1 - at[row] + ptr[row]  # past the last word of the last subsequence
                 start, stop = np.maximum(ptr[row], cell[2] - at[row] + ptr[row] - margin), np.minimum(ptr[row + 1], stop + margin)
+                hashes = hash_stretches(words, start, stop).view(np.int64)
+                anchor = cell[1] - at[row] + ptr[row]
+                before, after = (anchor - start).astype(np.int32), (stop - anchor).astype(np.int32)
                 reach = np.maximum.accumulate(stop)
                 cut = np.flatnonzero(np.concatenate(([True], (start[1:] > reach[:-1]) | (row[1:] != row[:-1]))))
                 edges = [*cut.tolist(), len(start)]
-                out: dict[str, list] = {"id": [], "begin": [], "words": [], "signatures": [], "anchors": []}
+                out: dict[str, list] = {c: [] for c in _REGION}
                 for a, b in zip(edges, edges[1:], strict=False):
                     r, at_word = int(row[a]), int(start[a])
                     out["id"].append(int(ids[begin + r]))
                     out["begin"].append(at_word - int(ptr[r]))
                     out["words"].append((words[at_word : int(reach[b - 1])] >> np.uint64(48)).astype(np.uint16).tobytes())
-                    out["signatures"].append(cell[0, a:b])
-                    out["anchors"].append(cell[1, a:b] - at[r])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["id"], pa.int64()), pa.array(out["begin"], pa.int64()), pa.array(out["words"], pa.binary()), *[pa.array(out[c], pa.list_(pa.int64())) for c in ("signatures", "anchors")]], list(out)
-                )
+                    for c, v in (("signatures", cell[0]), ("anchors", anchor - ptr[row]), ("befores", before), ("afters", after), ("hashes", hashes)):
+                        out[c].append(v[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(v, _REGION[c]) for c, v in out.items()], list(out))
 
     return run
 
@@ -191,13 +197,44 @@ def shared_runs(own: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
     return np.stack([first[joined], first[joined] - shift[joined], np.add.reduceat(size, joined)], axis=1)
 
 
+def _needed_runs(runs: np.ndarray, least: int) -> np.ndarray:
+    """Without the runs whose own side lies within that of runs of ``least`` n-grams or more, as few of the latter as cover the same."""
+    solid = np.flatnonzero(runs[:, 2] >= least)
+    if len(solid) < 2 and len(solid) == len(runs):
+        return runs
+    solid = solid[np.lexsort((-runs[solid, 2], runs[solid, 0]))]
+    chosen: list[int] = []
+    reach, best, best_end = -1, -1, -1
+    for k, begin, end in zip(solid.tolist(), runs[solid, 0].tolist(), (runs[solid, 0] + runs[solid, 2]).tolist(), strict=True):
+        if best >= 0 and begin > reach:  # what reaches farthest of those that begin within the cover
+            chosen.append(best)
+            reach, best = best_end, -1
+        if end > max(reach, best_end if best >= 0 else -1):
+            if begin > reach:
+                chosen.append(k)
+                reach = end
+            else:
+                best, best_end = k, end
+    if best >= 0:
+        chosen.append(best)
+    cover = runs[sorted(chosen, key=lambda k: runs[k, 0])]
+    begin, end = cover[:, 0], cover[:, 0] + cover[:, 2]
+    fresh = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1]))) if len(cover) else np.zeros(0, np.int64)
+    begin, end = begin[fresh], np.append(end[fresh[1:] - 1], end[-1:])
+    at = np.searchsorted(begin, runs[:, 0], "right") - 1
+    within = (at >= 0) & (runs[:, 0] + runs[:, 2] <= end[np.maximum(at, 0)]) if len(begin) else np.zeros(len(runs), bool)
+    within[chosen] = False
+    return runs[~within]
+
+
 def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
     """(begin, end, other begin, other end, similarity) of passages of at least ``least`` words of ``own`` that ``other`` has nearly alike.
 
     Words are compared along every shift at which an ``n``-gram is shared. Runs of at least ``n`` equal words
     are chained in order over gaps of any length; a chain counts if its n-grams have Jaccard similarity
     ``threshold`` with those of the other side's stretch. Chains whose own words lie within those of a longer one
-    that counts are left out. A passage begins and ends with equal words.
+    that counts are left out, and so are short runs whose own words lie within a run that is a passage by itself.
+    A passage begins and ends with equal words.
 
     With S shared of A and B n-grams, S / (A + B - S) >= t is S (1 - t) - t (A - S) - t (B - S) >= 0: a sum
     over runs and gaps, so the best chain from each run to each other one is found by going through the runs once.
@@ -205,6 +242,7 @@ def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, th
     runs = shared_runs(own, other, n)
     if not len(runs):
         return []
+    runs = _needed_runs(runs, least - n + 1)
     # those within a longer one on both sides go
     runs = runs[np.lexsort((runs[:, 0], np.abs(runs[:, 0] - runs[:, 1]), -runs[:, 2]))]
     ends, rest, chosen = runs[:, :2] + runs[:, 2:], np.arange(len(runs)), []
@@ -245,6 +283,21 @@ def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, th
     return sorted(out)
 
 
+def most_gain(shared: np.ndarray, width: int, threshold: float, x: int | None = None) -> float:
+    """A bound of what one side's n-grams (shared with the other or not) add to a passage of ``width`` of them or more, one that holds the ``x``-th if given.
+
+    A passage's sum (see matching_passages) is at most (1 - t) / 2 for each shared n-gram of either side, and -t for
+    each other one: no passage if the bounds of both sides are together below 0.
+    """
+    if len(shared) < width:
+        return -np.inf
+    total = np.concatenate(([0.0], np.cumsum(np.where(shared, (1 - threshold) / 2, -threshold))))
+    most = np.maximum.accumulate(total[::-1])[::-1]
+    first = np.arange(len(total) - width if x is None else min(x + 1, len(total) - width))
+    last = first + width if x is None else np.maximum(x + 1, first + width)
+    return float((most[last] - total[first]).max(initial=-np.inf))
+
+
 _FOUND = pa.schema([(c, pa.int64()) for c in ("doc_id", "begin", "end", "source_doc_id", "source_begin", "source_end")] + [("similarity", pa.float64())])
 
 
@@ -254,6 +307,9 @@ def _verify(n: int, least: int, threshold: float):
             out: dict[str, list] = {f.name: [] for f in _FOUND}
             for row in batch.to_pylist():
                 own, other = np.frombuffer(row["words"], np.uint16), np.frombuffer(row["source_words"], np.uint16)
+                x, y = _grams(own, n), _grams(other, n)
+                if most_gain(np.isin(x, y), least - n + 1, threshold) + most_gain(np.isin(y, x), least - n + 1, threshold) < -1e-9:
+                    continue
                 for a, b, c, d, similarity in matching_passages(own, other, n, least, threshold):
                     for k, v in zip(out, (row["id"], row["begin"] + a, row["begin"] + b, row["source_id"], row["source_begin"] + c, row["source_begin"] + d, similarity), strict=True):
                         out[k].append(v)
@@ -262,39 +318,69 @@ def _verify(n: int, least: int, threshold: float):
     return run
 
 
+def _least_shared(least: int, threshold: float, n: int) -> int:
+    """N-grams that any passage shares with its source."""
+    return int(np.ceil(2 * (least - n + 1) * threshold / (1 + threshold) - 1e-9))
+
+
+def _gram_rows(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_grams(np.frombuffer(w.as_buffer(), np.uint16), n)) for w in batch.column(2)]
+            at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["signature", "hash", "gram"])
+
+    return run
+
+
 def _partners(n: int, least: int, threshold: float):
-    width = least - n + 1
-    need = int(np.ceil(2 * width * threshold / (1 + threshold) - 1e-9))  # n-grams that any passage shares with its source
+    width, need = least - n + 1, _least_shared(least, threshold, n)
 
     def run(table: pa.Table) -> pa.Table:
-        """For each open member, the first of the others in an earlier document that holds a passage of it."""
-        is_open, ids, begin, region = (table[c].to_numpy() for c in ("open", "id", "begin", "region"))
-        lo, hi = table["lo_anchor"].to_numpy(), table["hi_anchor"].to_numpy()
+        """For each stretch that asks, that of an earlier document which holds a passage around its anchor and shares most n-grams with it."""
+        asks, holds, ids = (table[c].to_numpy() for c in ("asks", "holds", "id"))
         words = [np.frombuffer(w.as_buffer(), np.uint16) for w in table["words"]]
-        others = np.flatnonzero(~is_open)
-        others = others[np.lexsort((region[others], ids[others]))]
+        rows: list[np.ndarray] = [_grams(w, n) for w in words]
+        flat, code = np.unique(np.concatenate([*rows, np.zeros(0, np.uint64)]), return_inverse=True)
+        spans = np.cumsum([0, *[len(r) for r in rows]])
+        sets = [np.unique(code[a:b]) for a, b in zip(spans[:-1], spans[1:], strict=True)]
+        member, owner = np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        alive = np.ones(len(sets), bool)
+        while True:  # stretches with too few n-grams that others of the group have can't hold a passage of them
+            held = np.bincount(member[alive[owner]], minlength=len(flat))
+            still = alive & (np.bincount(owner, weights=held[member] > 1, minlength=len(sets)) >= need)
+            if (still == alive).all():
+                break
+            alive = still
+        kept = (alive & holds)[owner] & (held[member] > 1)
+        order = np.argsort(member[kept], kind="stable")
+        holders, first = owner[kept][order], np.searchsorted(member[kept][order], np.arange(len(flat) + 1))
         out: dict[str, list] = {c: [] for c in ("id", "begin", "anchor", "source_id", "source_begin", "source_anchor")}
-        sets = [np.unique(_grams(words[k], n)) for k in others.tolist()]
-        grams, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(others)), [len(x) for x in sets])
-        order = np.argsort(grams, kind="stable")
-        grams, owner = grams[order], owner[order]
-        for m in np.flatnonzero(is_open).tolist():
-            own, times = np.unique(_grams(words[m], n), return_counts=True)
-            low, high = np.searchsorted(grams, own), np.searchsorted(grams, own, "right")
-            held = high - low
-            at = np.arange(held.sum()) + np.repeat(low - (np.cumsum(held) - held), held)
-            shared = np.bincount(owner[at], weights=np.repeat(times, held), minlength=len(others))
-            pending = set(table["open_anchors"][m].as_py())
-            for k in others[(shared >= need) & (ids[others] < ids[m])].tolist():
-                found = matching_passages(words[m], words[k], n, least, threshold)
-                met = {x for x in pending if any(begin[m] + p[0] <= x and x + n <= begin[m] + p[1] for p in found)}
-                if met:
-                    for anchor, source_anchor in ((lo[m], lo[k]), (hi[m], hi[k])):
-                        for c, v in zip(out, (ids[m], region[m], anchor, ids[k], region[k], source_anchor), strict=True):
-                            out[c].append(int(v))
-                    pending -= met
-                    if not pending:
-                        break
+        place = {c: table[c].to_numpy() for c in ("id", "begin", "anchor")}
+        before = table["before"].to_numpy()
+        mark = np.zeros(len(flat), bool)
+
+        def gain(i: int, j: int) -> float:
+            mark[sets[j]] = True
+            shared = mark[code[spans[i] : spans[i + 1]]]
+            mark[sets[j]] = False
+            return most_gain(shared, width, threshold, int(before[i]))
+
+        for m in np.flatnonzero(asks & alive).tolist():
+            count = first[sets[m] + 1] - first[sets[m]]
+            at = np.arange(count.sum()) + np.repeat(first[sets[m]] - (np.cumsum(count) - count), count)
+            shared = np.bincount(holders[at], minlength=len(sets))
+            others = np.flatnonzero((shared >= need) & (ids < ids[m]))
+            own = code[spans[m] : spans[m + 1]]
+            for k in others[np.lexsort((ids[others], -shared[others]))].tolist():
+                x = int(before[m])
+                if gain(m, k) + gain(k, m) < -1e-9:
+                    continue
+                if any(p[0] <= x and x + n <= p[1] for p in matching_passages(words[m], words[k], n, least, threshold)):
+                    for c, i in (("", m), ("source_", k)):
+                        for name in place:
+                            out[c + name].append(int(place[name][i]))
+                    break
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     return run
@@ -305,8 +391,8 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
 
     A passage has at least ``min_words`` words, and its word ``n``-grams have Jaccard similarity
     ``threshold`` or more with the source's. Positions count words; the source is the least id that
-    shares the signature and, where that one does not hold the passage, the least that does of the others before the
-    document: not each pair of a group is reported, but each member that holds a passage of an earlier one. Copies of documents are passages too.
+    shares the signature and, where that one does not hold the passage, one that does of the others before the
+    document (with equal words around the anchor the least, else that which shares most n-grams): not each pair of a group is reported, but each member that holds a passage of an earlier one. Copies of documents are passages too.
 
     Each subsequence of ``min_words`` words has, per band, a signature of two min-hashes over
     its n-grams; compact windows group the subsequences that share it, about four per
@@ -314,9 +400,10 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
     documents or more set a filter of fixed size, and a second reading sends on
     only the stretches of words under such signatures. Members are joined to
     their group's first by signature, stretches are compared word by word. Members that no passage found so far
-    covers are compared with all earlier ones of the signature that share n-grams enough, until one holds the passage, in
-    pairs of blocks of ``BLOCK`` members. Texts are never
-    shuffled; a frequent passage is a join that the planner splits.
+    covers are compared with all earlier ones of the signature that share n-grams enough, those that share most first, until
+    one holds the passage. For this, equal stretches around an anchor are one, and a signature of more than ``BLOCK``
+    different ones first loses those whose n-grams are too rare in it to make a passage, by two aggregations, and is then searched in pairs
+    of blocks. Texts are never shuffled; a frequent passage is a join that the planner splits.
 
     Null ids and null, empty or shorter texts give no rows. Rows that share an
     id are taken as one document. Passages repeated within one document only are
@@ -333,11 +420,14 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
     rows = seen.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2**21 rows at most
     filled = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     filled[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    regions = base.mapInArrow(_regions(n, width, margin, filled), "id long, begin long, words binary, signatures array<long>, anchors array<long>")
+    regions = base.mapInArrow(_regions(n, width, margin, filled), "id long, begin long, words binary, signatures array<long>, anchors array<long>, befores array<int>, afters array<int>, hashes array<long>")
     regions = materialize(regions, "passage-regions")
-    cell = regions.select("id", "begin", F.explode(F.arrays_zip("signatures", "anchors")).alias("c")).select("id", "begin", F.col("c.signatures").alias("signature"), F.col("c.anchors").alias("anchor"))
+    each = {"signatures": "signature", "anchors": "anchor", "befores": "before", "afters": "after", "hashes": "hash"}
+    named = [F.col(f"c.{c}").alias(k) for c, k in each.items()]
+    cell = regions.select("id", "begin", F.explode(F.arrays_zip(*each)).alias("c")).select("id", "begin", *named)
     firsts = cell.groupBy("signature").agg(F.min(F.struct("id", "begin", "anchor")).alias("first"), F.max("id").alias("hi")).where("first.id < hi")
     firsts = firsts.select("signature", F.col("first.id").alias("source_id"), F.col("first.begin").alias("source_begin"), F.col("first.anchor").alias("source_anchor"))
+    firsts = materialize(firsts, "passages-firsts")  # so that a hot signature's members are split in the join
     pairs = cell.join(firsts, "signature").where("id <> source_id")
     text = regions.groupBy("id", "begin").agg(F.first("words").alias("words"))
     source = text.select(F.col("id").alias("source_id"), F.col("begin").alias("source_begin"), F.col("words").alias("source_words"))
@@ -358,31 +448,44 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
         return materialize(found, name)
 
     found = compared(pairs, "passages-of-firsts")
-    # members that no passage covers yet, and all members of their signatures
+    # signatures around which no passage covers some member yet, and the different stretches of words that they have
     held = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct(F.col("begin").alias("a"), F.col("end").alias("b"))).alias("held"))
-    left = regions.select("id", "begin", F.arrays_zip("signatures", "anchors").alias("c")).join(held, "id", "left")
+    left = regions.select("id", "begin", F.arrays_zip(*each).alias("c")).join(held, "id", "left")
     covered = lambda c: F.exists("held", lambda h: (h["a"] <= c["anchors"]) & (c["anchors"] + n <= h["b"]))
-    left = left.select("id", "begin", F.explode(F.filter("c", lambda c: ~F.coalesce(covered(c), F.lit(False)))).alias("c"))
-    left = left.select("id", "begin", F.col("c.signatures").alias("signature"), F.col("c.anchors").alias("anchor"))
-    left = left.groupBy("signature", "id", "begin").agg(F.collect_set("anchor").alias("open_anchors"))
-    left = materialize(left.join(firsts.select("signature", "source_id"), "signature").where("id <> source_id").drop("source_id"), "passages-open")
-    members = cell.join(left.select("signature").distinct(), "signature", "left_semi")
-    members = members.groupBy("signature", "id", "begin").agg(F.min("anchor").alias("lo_anchor"), F.max("anchor").alias("hi_anchor"))
-    members = materialize(members.join(left, ["signature", "id", "begin"], "left").withColumn("open", F.col("open_anchors").isNotNull()), "passages-members")
-    # signatures with the same members are searched once
-    hashes = [F.bit_xor(F.xxhash64("id", "begin", F.lit(k))).alias(f"x{k}") for k in range(2)]
-    alike = members.groupBy("signature").agg(F.count("*").alias("m"), *hashes, F.min("id").alias("lo"), F.max("id").alias("hi"))
-    alike = alike.withColumn("group", F.min("signature").over(Window.partitionBy("m", "x0", "x1", "lo", "hi"))).select("signature", "group")
-    members = members.join(alike, "signature").groupBy(F.col("group").alias("signature"), "id", "begin")
-    members = members.agg(F.min("lo_anchor").alias("lo_anchor"), F.max("hi_anchor").alias("hi_anchor"), F.max("open").alias("open"), F.array_distinct(F.flatten(F.collect_list("open_anchors"))).alias("open_anchors"))
-    members = materialize(members, "passages-groups")
-    sizes = members.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("open") / BLOCK).cast("int").alias("asking"))
-    members = members.join(sizes, "signature").withColumn("hash", F.xxhash64("id", "begin"))
+    left = left.select("id", "begin", F.explode(F.filter("c", lambda c: ~F.coalesce(covered(c), F.lit(False)))).alias("c")).select("id", "begin", *named)
+    left = materialize(left.join(firsts.select("signature", "source_id"), "signature").where("id <> source_id").select("signature", "id", "begin", "anchor", "hash"), "passages-open")
+    asked = materialize(left.select("signature").distinct(), "passages-asked")
+    least_of = F.min(F.struct("id", "begin", "anchor", "before", "after")).alias("r")
+    contents = materialize(cell.join(asked, "signature", "left_semi").groupBy("signature", "hash").agg(least_of).select("signature", "hash", "r.*"), "passages-contents")
+    # equal stretches: the least holder is a partner; it alone goes on to ask the other stretches
+    ends = contents.select("signature", "hash", F.col("id").alias("source_id"), F.col("begin").alias("source_begin"), F.col("anchor").alias("source_anchor"))
+    alike = left.join(ends, ["signature", "hash"]).where("source_id < id").select("id", "begin", "anchor", "source_id", "source_begin", "source_anchor")
+    asking = left.select("signature", "hash", F.col("id").alias("asking_id"))
+    asking = contents.join(asking, ["signature", "hash"]).where("id = asking_id").select("signature", "hash").distinct()
+    members = contents.join(asking.withColumn("asks", F.lit(True)), ["signature", "hash"], "left").join(text, ["id", "begin"])
+    cut_at = (2 * (F.col("anchor") - F.col("before") - F.col("begin")) + 1).cast("int")
+    members = members.select("signature", "hash", "id", "begin", "anchor", "before", F.coalesce("asks", F.lit(False)).alias("asks"), F.substring("words", cut_at, 2 * (F.col("before") + F.col("after"))).alias("words"))
+    members = materialize(members, "passages-members")
+
+    def counted(df: DataFrame) -> DataFrame:
+        return materialize(df.groupBy("signature").agg(F.count("*").alias("size"), F.count_if("asks").alias("asking")).where("size > 1 AND asking > 0"), "passages-sizes")
+
+    sizes = counted(members)
+    # large groups lose the stretches that share too few n-grams with all others together: a line that very many documents have leaves none
+    large = members.join(sizes.where(F.col("size") > BLOCK).select("signature"), "signature", "left_semi")
+    grams = materialize(large.select("signature", "hash", "words").mapInArrow(_gram_rows(n), "signature long, hash long, gram long"), "passages-grams")
+    common = materialize(grams.groupBy("signature", "gram").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "passages-common")
+    rich = grams.join(common, ["signature", "gram"]).groupBy("signature", "hash").count().where(F.col("count") >= _least_shared(min_words, threshold, n))
+    large = materialize(large.join(rich.select("signature", "hash"), ["signature", "hash"], "left_semi"), "passages-large")
+    small = members.join(sizes.where(F.col("size") <= BLOCK).select("signature"), "signature", "left_semi")
+    columns = ["signature", "ask", "block", "asks", "holds", "id", "begin", "anchor", "before", "words"]
+    small = small.withColumns({"ask": F.lit(0), "block": F.lit(0), "holds": F.lit(True)}).select(columns)
+    blocks = counted(large).select("signature", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asking") / BLOCK).cast("int").alias("asking"))
+    large = large.join(blocks, "signature").withColumn("at", F.xxhash64("hash"))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    asked = members.withColumn("block", F.pmod("hash", F.col("blocks")).cast("int")).withColumn("ask", every("asking")).withColumn("open", F.lit(False))
-    asking = members.where("open").withColumn("ask", F.pmod("hash", F.col("asking")).cast("int")).withColumn("block", every("blocks"))
-    columns = ["signature", "ask", "block", "open", "id", "begin", "lo_anchor", "hi_anchor", "open_anchors"]
-    sides = asked.select(columns).union(asking.select(columns)).withColumn("region", F.col("begin")).join(text, ["id", "begin"])
-    sides = cut(sides, "").select(*columns, "region", "words")
+    holding = large.withColumns({"block": F.pmod("at", F.col("blocks")).cast("int"), "asks": F.lit(False), "holds": F.lit(True)}).withColumn("ask", every("asking")).select(columns)
+    asking = large.where("asks").withColumns({"ask": F.pmod("at", F.col("asking")).cast("int"), "holds": F.lit(False)}).withColumn("block", every("blocks")).select(columns)
+    sides = small.union(holding).union(asking)
     partners = sides.groupBy("signature", "ask", "block").applyInArrow(_partners(n, min_words, threshold), "id long, begin long, anchor long, source_id long, source_begin long, source_anchor long")
+    partners = materialize(partners.union(alike), "passages-partners")
     return found.union(compared(partners, "passages-of-others")).distinct()

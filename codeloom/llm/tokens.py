@@ -71,6 +71,14 @@ def hash_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(start, row_at)
 
 
+def hash_stretches(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches words[begin:end], equal for equal words wherever they stand."""
+    power, inverse = _power_tables(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=total[1:])
+    return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64), 3)
+
+
 def chunks(text: pa.Array, size: int = _CHUNK) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``size`` bytes of text."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(text), 0), np.int64)
