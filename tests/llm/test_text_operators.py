@@ -221,6 +221,13 @@ def test_jaccard_join_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard_join.jaccard_join(df).collect())) == [(1, 1, 1), (2, 1, 1)]
     assert jaccard_join.jaccard_join(df.limit(0)).count() == 0
+    # an id with two texts that each have near copies elsewhere, ids that are text, and a column of a clashing name
+    one, two = words(60, 810), words(60, 811)
+    rows = [("1", " ".join(one)), ("1", " ".join(two)), ("2", " ".join(one[:59])), ("3", " ".join(two[1:])), ("3", " ".join(two[1:])), (None, " ".join(two))]
+    many = spark.createDataFrame([(i, t, b"x") for i, t in rows], "doc_id string, text string, key binary")
+    assert sorted(map(tuple, jaccard_join.jaccard_join(many).collect())) == [("1", "1", 1), ("1", "1", 1), ("2", "1", 1), ("3", "1", 1)]
+    kept = jaccard_join.near_duplicate_rows(many).collect()
+    assert sorted((r.id, r.n) for r in kept if r.keep) == [("1", 1), ("1", 1)] and len(kept) == 5
     bands, rows = jaccard_join.choose_bands(0.8, 0.995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.995
 
@@ -244,6 +251,61 @@ def test_tiles_are_greedy_and_do_not_overlap():
     assert decontaminate.tile([1, 2, 1, 2], [[1, 2, 9, 9]], 2) == [(0, 0, 0, 2)]  # the part's words are used once
 
 
+def tiles_by_hand(pattern, parts, shortest):
+    own, used, tiles = [False] * len(pattern), [[False] * len(p) for p in parts], []
+    while True:
+        longest, found = shortest, []
+        for i in range(len(pattern)):
+            for k, part in enumerate(parts):
+                for j in range(len(part)):
+                    n = 0
+                    while i + n < len(pattern) and j + n < len(part) and pattern[i + n] == part[j + n] and not own[i + n] and not used[k][j + n]:
+                        n += 1
+                    if n > longest:
+                        longest, found = n, [(i, k, j)]
+                    elif n == longest:
+                        found.append((i, k, j))
+        if not found:
+            return tiles
+        for i, k, j in found:
+            if not any(own[i : i + longest]) and not any(used[k][j : j + longest]):
+                own[i : i + longest] = used[k][j : j + longest] = [True] * longest
+                tiles.append((i, k, j, longest))
+
+
+def test_tiles_equal_plain_greedy_tiling():
+    rng = random.Random(40)
+    for _ in range(300):
+        of = rng.choice([2, 3, 8])
+        pattern, parts = [rng.randrange(of) for _ in range(rng.randrange(1, 25))], [[rng.randrange(of) for _ in range(rng.randrange(18))] for _ in range(rng.randrange(1, 4))]
+        shortest = rng.choice([2, 3, 5])
+        assert decontaminate.tile(pattern, parts, shortest) == tiles_by_hand(pattern, parts, shortest)
+    assert decontaminate.tile([1, 2] * 3000, [[1, 2] * 2000, [2, 1] * 3000], 5)[0] == (0, 1, 1, 5999)
+
+
+def test_contamination_equals_tiling_all_pairs(spark):
+    """Reordered, edited and repetitive items, ids that are text or repeat, and a phrase that all items share."""
+    rng, phrase = random.Random(41), words(8, 42)
+    items = [(f"i{k % 11}", words(rng.randrange(5, 40), 900 + k, 60) + phrase) for k in range(12)] + [("loop", words(5, 43) * 8), ("two", words(2, 44) * 20)]
+    texts = []
+    for k, (_, item) in enumerate(items):
+        cut = rng.randrange(len(item))
+        edited = item[:]
+        edited[rng.randrange(len(item))] = "edited"
+        texts += [(f"d{k}", words(20, 950 + k) + item[cut:] + ["and"] + item[:cut]), (f"d{k}", edited + words(10, 970 + k)), (f"e{k}", item[: 2 * len(item) // 3])]
+    texts += [("f", phrase * 3), (None, items[0][1])]
+    want = {}
+    for i, text in texts:
+        for j, item in items:
+            covered = sum(t[3] for t in tiles_by_hand(item, [text], 5))
+            if i is not None and covered >= 0.8 * len(item):
+                want[i, j] = max(want.get((i, j), 0), covered / len(item))
+    docs = spark.createDataFrame([(i, " ".join(t), 1) for i, t in texts], "doc_id string, text string, row int").repartition(3)
+    bench = spark.createDataFrame([(j, " ".join(t)) for j, t in items], "item_id string, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert got == want and ("d12", "loop") in got and ("d13", "two") in got
+
+
 def test_decontamination(spark):
     items = {0: words(30, 50), 1: words(40, 51), 2: ["short", "item"], 3: words(12, 52)}
     swapped = items[1][25:] + ["and"] + items[1][:25]
