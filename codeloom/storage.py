@@ -63,7 +63,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def size_of(df: DataFrame) -> int:
     """Bytes that the planner takes ``df`` for: of a table just written, those of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def remove(spark: SparkSession, path: str) -> None:
