@@ -24,24 +24,39 @@ _SLICE = 1 << 20
 _AT_BITS = 26
 
 
-def compact_windows(order: np.ndarray, centres: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Left and right ends (inclusive) of the compact window of each centre in positions [begin, end).
+def compact_windows(order: np.ndarray, centres: np.ndarray, begin: np.ndarray | int, end: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right ends (inclusive) of the compact window of each centre in its row's positions [begin, end).
 
     The window of a centre reaches to the next lower value on either side: its
     node's range in the Cartesian tree. ``centres`` (ascending) hold every position that is the least of some
     window of the length in question; the next lower value of such a position
-    is again one if the range is as long, so the tree is built on them alone. One stack, each centre pushed and popped once.
+    is again one if the range is as long, so the tree is built on them alone.
     """
-    left, right = np.full(len(centres), begin), np.full(len(centres), end - 1)
-    stack: list[int] = []
-    values, places = order[centres].tolist(), centres.tolist()
-    for i, value in enumerate(values):
-        while stack and values[stack[-1]] > value:
-            right[stack.pop()] = places[i] - 1
-        if stack:
-            left[i] = places[stack[-1]] + 1
-        stack.append(i)
-    return left, right
+    begin, end = np.broadcast_to(begin, centres.shape), np.broadcast_to(end, centres.shape)
+    right = len(centres) - 1 - _next_lower(order[centres][::-1], -end[::-1])[::-1]
+    return left_ends(order, centres, begin), np.where(right < len(centres), centres[np.minimum(right, len(centres) - 1)] - 1, end - 1)
+
+
+def left_ends(order: np.ndarray, centres: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    link = _next_lower(order[centres], begin)
+    return np.where(link >= 0, centres[link] + 1, begin)
+
+
+def _next_lower(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Index of the nearest earlier lower value of the same ``row``, or -1: the left links of Cartesian trees over all rows.
+
+    Every link goes from a value past greater ones only, so where it ends at a greater value it can go on along
+    that one's link; all links are followed at once, which doubles what they pass in each round.
+    """
+    first = np.searchsorted(row, row)
+    link = np.arange(len(values)) - 1
+    todo = np.flatnonzero(link >= first)
+    todo = todo[values[link[todo]] > values[todo]]
+    while len(todo):
+        link[todo] = link[link[todo]]
+        todo = todo[link[todo] >= first[todo]]
+        todo = todo[values[link[todo]] > values[todo]]
+    return np.where(link >= first, link, -1)
 
 
 def _sliding_least(packed: np.ndarray, width: int) -> np.ndarray:
@@ -80,19 +95,14 @@ def cells(grams: np.ndarray, at: np.ndarray, width: int) -> Iterator[tuple[np.nd
         packed = mix(grams, 100 + seed) & ~low | place
         least = (_sliding_least(packed, width)[valid] & low).astype(np.int64)
         fresh = np.flatnonzero(np.diff(least, prepend=-1))
-        centres_all = np.unique(least[fresh])
-        firsts, centres = [], []
-        cuts = np.searchsorted(centres_all, at[rows]), np.searchsorted(centres_all, at[rows + 1])
-        for r, a, b in zip(rows.tolist(), cuts[0].tolist(), cuts[1].tolist(), strict=True):
-            own = centres_all[a:b]
-            left, _ = compact_windows(packed, own, int(at[r]), int(at[r + 1]))
-            firsts.append(np.maximum(left, own - width + 1))
-            centres.append(own)
-        return np.concatenate(firsts), np.concatenate(centres)
+        centres = least[fresh]  # ascending, each once
+        begin = at[np.searchsorted(at, centres, "right") - 1]
+        return np.maximum(left_ends(packed, centres, begin), centres - width + 1), centres
 
     for band in range(BANDS):
         (first_f, centre_f), (first_g, centre_g) = windows(2 * band), windows(2 * band + 1)
-        first = np.union1d(first_f, first_g)
+        first = np.sort(np.concatenate((first_f, first_g)), kind="stable")
+        first = first[np.flatnonzero(np.diff(first, prepend=-1))]
         f = centre_f[np.searchsorted(first_f, first, "right") - 1]
         g = centre_g[np.searchsorted(first_g, first, "right") - 1]
         ends = np.searchsorted(starts_all, np.append(first[1:], len(grams))) - 1
@@ -200,8 +210,8 @@ def shared_runs(own: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
 def _needed_runs(runs: np.ndarray, least: int) -> np.ndarray:
     """Without the runs whose own side lies within that of runs of ``least`` n-grams or more, as few of the latter as cover the same."""
     solid = np.flatnonzero(runs[:, 2] >= least)
-    if len(solid) < 2 and len(solid) == len(runs):
-        return runs
+    if not len(solid):
+        return _apart(runs)
     solid = solid[np.lexsort((-runs[solid, 2], runs[solid, 0]))]
     chosen: list[int] = []
     reach, best, best_end = -1, -1, -1
@@ -219,12 +229,28 @@ def _needed_runs(runs: np.ndarray, least: int) -> np.ndarray:
         chosen.append(best)
     cover = runs[sorted(chosen, key=lambda k: runs[k, 0])]
     begin, end = cover[:, 0], cover[:, 0] + cover[:, 2]
-    fresh = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1]))) if len(cover) else np.zeros(0, np.int64)
+    fresh = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1])))
     begin, end = begin[fresh], np.append(end[fresh[1:] - 1], end[-1:])
     at = np.searchsorted(begin, runs[:, 0], "right") - 1
-    within = (at >= 0) & (runs[:, 0] + runs[:, 2] <= end[np.maximum(at, 0)]) if len(begin) else np.zeros(len(runs), bool)
+    within = (at >= 0) & (runs[:, 0] + runs[:, 2] <= end[np.maximum(at, 0)])
     within[chosen] = False
-    return runs[~within]
+    return _apart(runs[~within])
+
+
+def _apart(runs: np.ndarray) -> np.ndarray:
+    """Without the runs that lie, on either side, within runs of four times their size: a chain through one would leave out those."""
+    if len(runs) < 8:
+        return runs
+    order = np.argsort(runs[:, 2], kind="stable")
+    far = np.ones(len(runs), bool)
+    for side in (0, 1):
+        begin, end = runs[:, side], runs[:, side] + runs[:, 2]
+        widest = np.zeros(int(end.max()), np.int64)
+        for a, b, size in zip(begin[order].tolist(), end[order].tolist(), runs[order, 2].tolist(), strict=True):
+            widest[a:b] = size
+        far &= np.minimum(np.minimum(widest[begin], widest[end - 1]), widest[(begin + end) // 2]) >= 4 * runs[:, 2]
+    return runs[~far]
+
 
 
 def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
@@ -233,7 +259,8 @@ def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, th
     Words are compared along every shift at which an ``n``-gram is shared. Runs of at least ``n`` equal words
     are chained in order over gaps of any length; a chain counts if its n-grams have Jaccard similarity
     ``threshold`` with those of the other side's stretch. Chains whose own words lie within those of a longer one
-    that counts are left out, and so are short runs whose own words lie within a run that is a passage by itself.
+    that counts are left out, and so are short runs whose own words lie within a run that is a passage by itself, or
+    that lie on either side within runs of four times their size.
     A passage begins and ends with equal words.
 
     With S shared of A and B n-grams, S / (A + B - S) >= t is S (1 - t) - t (A - S) - t (B - S) >= 0: a sum
@@ -243,43 +270,49 @@ def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, th
     if not len(runs):
         return []
     runs = _needed_runs(runs, least - n + 1)
-    # those within a longer one on both sides go
     runs = runs[np.lexsort((runs[:, 0], np.abs(runs[:, 0] - runs[:, 1]), -runs[:, 2]))]
-    ends, rest, chosen = runs[:, :2] + runs[:, 2:], np.arange(len(runs)), []
-    while len(rest):
-        k = rest[0]
-        chosen.append(k)
-        rest = rest[1:]
-        rest = rest[((runs[rest, :2] < runs[k, :2]) | (ends[rest] > ends[k])).any(axis=1)]
-    kept = runs[chosen]
-    kept = kept[np.lexsort((kept[:, 1], kept[:, 0]))]
-    size, ends = kept[:, 2], kept[:, :2] + kept[:, 2:]
-    best = np.full((len(kept), len(kept)), -np.inf)  # from run, to run
-    for e in range(len(kept)):
-        best[e, e] = (1 - threshold) * size[e]
-        over = np.maximum(0, (ends[:e] - kept[e, :2]).max(axis=1))  # n-grams that the run before has taken
-        before = np.flatnonzero((over < size[e]) & (kept[:e, :2] < kept[e, :2]).all(axis=1))
-        # a run that fits between two others makes the chain through it better than the one past it
-        for q in before[over[before] == 0][np.argsort(-kept[before[over[before] == 0], :2].sum(axis=1), kind="stable")[:8]]:
-            before = before[(ends[before] > kept[q, :2]).any(axis=1)]
-        if len(before):
-            gaps = (kept[e, :2] - ends[before]).sum(axis=1) + 2 * over[before]
-            best[:e, e] = (best[:e, before] + (1 - threshold) * (size[e] - over[before]) - threshold * gaps).max(axis=1)
-    first, last = np.nonzero(best >= -1e-9)
-    spans = ends[last] - kept[first, :2]  # n-grams of either side
-    long_ = spans.min(axis=1) + n - 1 >= least
-    first, last, total = first[long_], last[long_], spans[long_].sum(axis=1)
-    order = np.lexsort((kept[first, 1], kept[first, 0], -total))
-    first, last, total = first[order], last[order], total[order]
-    begin, end = kept[first, 0], ends[last, 0]
-    out, rest = [], np.arange(len(first))
-    while len(rest):
-        k = rest[0]
-        s, e = first[k], last[k]
-        both = int(total[k])
-        shared = round((best[s, e] + threshold * both) / (1 + threshold))
-        out.append((int(begin[k]), int(end[k] + n - 1), int(kept[s, 1]), int(ends[e, 1] + n - 1), shared / (both - shared)))
-        rest = rest[(begin[rest] < begin[k]) | (end[rest] > end[k])]
+    kept: list[tuple[int, int, int]] = []
+    for a, b, size in runs.tolist():  # those within a longer one on both sides go
+        if not any(c <= a and d <= b and a + size <= c + more and b + size <= d + more for c, d, more in kept):
+            kept.append((a, b, size))
+    kept.sort()
+    gain, own_end, other_end = 1 - threshold, len(own) - n + 1, len(other) - n + 1
+    into: list[list[tuple[int, float]]] = []  # per run, the runs that may come before it in a chain, and what going on to it adds
+    for e, (a, b, size) in enumerate(kept):
+        links, between = [], []
+        for p in sorted(range(e), key=lambda p: -kept[p][0] - kept[p][1]):
+            c, d, long_ = kept[p]
+            # too far for all that both sides of the gap could hold
+            if threshold * (a + b - c - d - 2 * long_) > gain * (min(c, d) + long_ + min(own_end - a, other_end - b)):
+                continue
+            over = max(0, c + long_ - a, d + long_ - b)  # n-grams that the run before has taken
+            # a run that fits between two others makes the chain through it better than the one past it
+            if over < size and c < a and d < b and not any(c + long_ <= x and d + long_ <= y for x, y in between):
+                links.append((p, gain * (size - over) - threshold * (a + b - c - d - 2 * long_ + 2 * over)))
+                if not over and len(between) < 8:
+                    between.append((c, d))
+        into.append(links)
+    found = []
+    for s, (a, b, size) in enumerate(kept):  # from each run, the chain that reaches farthest
+        total = {s: gain * size}
+        farthest = None
+        for e in range(s, len(kept)):
+            if e > s:
+                best = max((total[p] + more for p, more in into[e] if p in total), default=None)
+                if best is None or best + gain * min(own_end - kept[e][0] - kept[e][2], other_end - kept[e][1] - kept[e][2]) < -1e-9:
+                    continue  # not reached, or too low for what is left to make up for
+                total[e] = best
+            c, d = kept[e][0] + kept[e][2], kept[e][1] + kept[e][2]
+            if total[e] >= -1e-9 and min(c - a, d - b) + n - 1 >= least and (farthest is None or (c, d) > farthest[:2]):
+                farthest = (c, d, total[e])
+        if farthest:
+            found.append((a, b, *farthest))
+    out: list[tuple[int, int, int, int, float]] = []
+    for a, b, c, d, sum_ in sorted(found, key=lambda x: (x[0] + x[1] - x[2] - x[3], x[0], x[1])):
+        if not any(x <= a and c + n - 1 <= y for x, y, *_ in out):
+            both = c - a + d - b
+            shared = round((sum_ + threshold * both) / (1 + threshold))
+            out.append((a, c + n - 1, b, d + n - 1, shared / (both - shared)))
     return sorted(out)
 
 
@@ -303,10 +336,14 @@ _FOUND = pa.schema([(c, pa.int64()) for c in ("doc_id", "begin", "end", "source_
 
 def _verify(n: int, least: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, len(b), 256)):
             out: dict[str, list] = {f.name: [] for f in _FOUND}
             for row in batch.to_pylist():
                 own, other = np.frombuffer(row["words"], np.uint16), np.frombuffer(row["source_words"], np.uint16)
+                if np.array_equal(own, other):
+                    for k, v in zip(out, (row["id"], row["begin"], row["begin"] + len(own), row["source_id"], row["source_begin"], row["source_begin"] + len(own), 1.0), strict=True):
+                        out[k].append(v)
+                    continue
                 x, y = _grams(own, n), _grams(other, n)
                 if most_gain(np.isin(x, y), least - n + 1, threshold) + most_gain(np.isin(y, x), least - n + 1, threshold) < -1e-9:
                     continue
