@@ -88,29 +88,33 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     sorted, and the text that a range's last row needs from the range below is
     sent along as one extra row, so texts move once and no range holds more than its share.
 
-    Null text: empty. Null ids come last; rows that share an id are ordered by
+    Ids are whole numbers. Null text: empty. Null ids come last, in the order of a hash of the text; rows that share an id are ordered by
     text. A single document is its own next. No documents: no rows. Texts without a word have an empty fingerprint, likeness 1 to
     each other and 0 to the rest. Columns of ``docs`` other than id and text are not returned.
     """
     spark = docs.sparkSession
     n_ranges = n_ranges or shuffle_partitions(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumns({"none": F.col("id").isNull().cast("int"), "down": F.coalesce(-F.col("id"), F.lit(0))})
-    order = ["none", "down"]
+    no_id = F.col("id").isNull()
+    base = base.withColumns({"none": no_id.cast("int"), "down": F.coalesce(-F.col("id"), F.lit(0))})
+    # rows without an id are spread by their text; only if there are some does placing read the texts
+    some = base.where(no_id).limit(1).count() > 0
+    base = base.withColumn("tie", F.when(no_id, F.xxhash64("text")).otherwise(F.lit(0).cast("long")) if some else F.lit(0).cast("long"))
+    order = ["none", "down", "tie"]
     bounds = range_bounds(base.select(*order), order, n_ranges)
     part = range_bucket([F.col(c) for c in order], bounds)
     edges = sorted((r["part"], tuple(r["first"])) for r in base.select(*order).groupBy(part.alias("part")).agg(F.min(F.struct(*order)).alias("first")).collect())
     # the first rows of a range also go, as guests, to the end of the range before it
-    guest_of = F.lit(None).cast("int")
-    for i, (_, first) in enumerate(edges):
-        guest_of = F.when((F.col("none") == first[0]) & (F.col("down") == first[1]), F.lit(edges[i - 1][0])).otherwise(guest_of)
+    doors = spark.createDataFrame([(*first, edges[i - 1][0]) for i, (_, first) in enumerate(edges)], "door_none int, door_down long, door_tie long, guest_of int")
     fp = add_fingerprint(base, "text", "fingerprint")
-    seats = fp.withColumn("part", part).withColumn(
+    met = (F.col("none") == F.col("door_none")) & (F.col("down") == F.col("door_down")) & (F.col("tie") == F.col("door_tie"))
+    guest_of = F.col("guest_of")
+    seats = fp.withColumn("part", part).join(F.broadcast(doors), met, "left").withColumn(  # n_ranges rows at most
         "seat", F.explode(F.array_compact(F.array(F.struct(F.col("part"), F.lit(0).alias("guest")), F.when(guest_of.isNotNull(), F.struct(guest_of.alias("part"), F.lit(1).alias("guest"))))))
     )
-    seats = seats.select("id", "text", "none", "down", "fingerprint", F.col("seat.part").alias("part"), F.col("seat.guest").alias("guest"))
-    line = Window.partitionBy("part").orderBy("guest", "none", "down", "text")
-    paired = seats.withColumns({"next_text": F.lead("text").over(line), "next_fingerprint": F.lead("fingerprint").over(line)}).where("guest = 0").drop("guest", "part", "none", "down")
+    seats = seats.select("id", "text", *order, "fingerprint", F.col("seat.part").alias("part"), F.col("seat.guest").alias("guest"))
+    line = Window.partitionBy("part").orderBy("guest", *order, "text")
+    paired = seats.withColumns({"next_text": F.lead("text").over(line), "next_fingerprint": F.lead("fingerprint").over(line)}).where("guest = 0").drop("guest", "part", *order)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
