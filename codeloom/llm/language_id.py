@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from .tokens import chunks
 
-#: Characters of reference text per language, documents it is drawn from, and characters from each.
-REFERENCE, SAMPLE_DOCS, PER_DOC = 12_000, 80, 600
-#: Languages that fit the table; more is an error.
-MOST_LANGUAGES = 64
+#: Characters of reference text per language, at most, and of all languages together; many languages share the latter.
+REFERENCE, REFERENCE_TOTAL = 12_000, 2_400_000
+#: Characters taken from one document: references are put together of many.
+PER_DOC = 150
+#: Languages that are learned: of more labels, those with most documents.
+MOST_LANGUAGES = 1000
+#: Bytes of all tables together; with many languages, fewer letters have columns.
+TABLE_BYTES = 128 << 20
 #: A text is parsed in blocks of so many characters, all blocks side by side.
 BLOCK = 2048
 _CHUNK = 4 << 20
@@ -76,14 +80,15 @@ def automaton(text: list[int], symbols: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Per language a parsing table; all lie in one array."""
+    """Per language a parsing table; all lie in one array of at most ``TABLE_BYTES`` (for references of ``REFERENCE_TOTAL`` characters)."""
 
     def __init__(self, references: dict[str, list[str]]) -> None:
         self.languages = sorted(references)
         seen = Counter(c for docs in references.values() for d in docs for c in d.lower() if c.isalpha())
         alphabet = sorted(seen, key=lambda c: (-seen[c], c))
         self.symbol = {c: i + _FIRST for i, c in enumerate(alphabet)}
-        self.width, self.size = min(len(alphabet), COMMON) + _FIRST, []
+        states = 2 * sum(len(d) + 1 for docs in references.values() for d in docs) + 1
+        self.width, self.size = min(len(alphabet), COMMON, max(8, TABLE_BYTES // 4 // states)) + _FIRST, []
         self.symbols = len(alphabet) + _FIRST
         tables, self.offsets = [], []
         keys, values, self.missing = [], [], np.zeros((len(references), self.symbols - self.width), np.int64)
@@ -100,7 +105,7 @@ class Model:
             following = np.where(go >= 0, go, again)
             phrases = np.where(go >= 0, 0, np.broadcast_to(ends, go.shape)).copy()
             phrases[0] = go[0] < 0
-            tables.append(((at + following * self.width) << 2 | phrases).ravel())
+            tables.append(((at + following * self.width) << 2 | phrases).ravel().astype(np.int32))
             keys.append((at + rare[:, 0] * self.width) * self.symbols + rare[:, 1])
             values.append((at + rare[:, 2] * self.width) << 2)
             self.missing[nth] = at << 2 | 2
@@ -108,7 +113,7 @@ class Model:
             self.missing[nth, first[:, 1] - self.width] = (at + first[:, 2] * self.width) << 2 | 1
             self.offsets.append(at)
             at += go.size
-        self.table = np.concatenate(tables).astype(np.int32 if at < 1 << 29 else np.int64) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         key, value = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*values, np.zeros(0, np.int64)])
         order = np.argsort(key)
         self.rare_key, self.rare_value = np.append(key[order], np.iinfo(np.int64).max), np.append(value[order], 0)
@@ -201,23 +206,27 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the labelled documents that are not held out.
 
-    Labels are counted over all documents; then about ``SAMPLE_DOCS`` documents
-    per language (by hash of the id, a bounded sample) reach the driver, and up to ``PER_DOC`` characters of each make
-    its reference text, up to ``REFERENCE`` characters.
+    Labels are counted over all documents, and the ``MOST_LANGUAGES`` with most documents (then by name) are learned. A language's
+    reference text has up to ``REFERENCE`` characters (fewer if ``REFERENCE_TOTAL`` shared by all languages is less): stretches of up to
+    ``PER_DOC`` characters from hashed places of documents drawn by the hash of the id. Twice as many documents as this needs
+    reach the driver, a bounded sample.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(id_col, text_col, lang_col)
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    usable = usable.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return Model({})
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1_000_000_000)) / 1e9
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * SAMPLE_DOCS / n))])
-    rows = usable.where(draw < share[F.col(lang_col)]).select(draw.alias("draw"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, PER_DOC).alias("text")).collect()
+    size = min(REFERENCE, REFERENCE_TOTAL // len(counts))
+    wanted = 2 * -(-size // PER_DOC)
+    draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000_000)) / 1e9
+    share = docs.sparkSession.createDataFrame([(lang, min(1.0, wanted / n)) for lang, n in counts], f"learned {docs.schema[lang_col].dataType.simpleString()}, share double")
+    drawn = usable.withColumn("draw", draw).join(F.broadcast(share), F.col("lang") == F.col("learned")).where("draw < share")  # MOST_LANGUAGES rows at most
+    place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("text") - PER_DOC + 1, F.lit(1))).cast("int")
+    rows = drawn.select("draw", "id", "lang", F.substr("text", place + 1, F.lit(PER_DOC)).alias("text")).collect()
     references: dict[str, list[str]] = defaultdict(list)
     held: dict[str, int] = defaultdict(int)
-    for _, lang, text in sorted(map(tuple, rows)):
-        if held[lang] < REFERENCE and any(c.isalpha() for c in text):
+    for _, _, lang, text in sorted(map(tuple, rows)):
+        if held[lang] < size and any(c.isalpha() for c in text):
             references[lang].append(text)
             held[lang] += len(text)
     return Model(references)
