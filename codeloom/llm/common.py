@@ -6,15 +6,17 @@ row per range bucket, and the number of buckets is a parameter.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize, scratch_path, size_of
+
+__all__ = ["materialize", "scratch_path"]
+
+#: Bytes of a table (as written) up to which it is sent to every executor in a join with texts.
+BROADCAST_BYTES = 16 << 20
 #: ASCII white space of the contracts, as a character class.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,38 +26,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; in local mode without one, a temporary folder is set.
-
-    On a cluster the setting is required: a machine-local folder would be
-    invisible to the other executors.
-    """
-    conf = spark.sparkContext.getConf()
-    at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    at = tempfile.mkdtemp(prefix="codeloom-")
-    atexit.register(shutil.rmtree, at, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{at}")
-    spark.sparkContext.setCheckpointDir(f"file://{at}")
-    return f"file://{at}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again.
+def sized(table: DataFrame) -> DataFrame:
+    """A table just written, marked for broadcast if it has at most ``BROADCAST_BYTES``; a larger one is left to the planner, which sorts and merges.
 
-    Cuts the lineage (a lost executor costs a re-read, not a recomputation) and
-    gives the planner the real size, so that it broadcasts only what is small.
+    What is joined to whole texts this way keeps them from being shuffled while it is small.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(table) if size_of(table) <= BROADCAST_BYTES else table
 
 
 def fresh(columns: Sequence[str], name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, fresh, materialize
+from .common import LOWER, UPPER, fresh, materialize, sized
 
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -27,14 +27,14 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_c
     distinct document, leaves few candidate lines; only these get the exact
     key, a second count and the choice of the document that keeps them. Counts
     are pre-aggregated, so a line in a third of all documents is one row per
-    task. Texts are shuffled once at most, for the join with the positions.
+    task. Texts are shuffled once at most, for the join with the positions, and
+    not at all while those are few enough to be broadcast.
 
     Null or empty text: one empty line, and the text becomes empty. A row with a null id is
     not counted as a document and keeps all its lines. Rows that share an id
     are one document in the counts and are reassembled each from its own text.
     Any other columns pass through.
     """
-    n_lines, n_dropped = fresh(docs.columns, "n_lines"), fresh(docs.columns, "n_dropped")
     base = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines")
     ).where("id IS NOT NULL")
@@ -52,16 +52,21 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_c
     )
     held = materialize(held, "line-holders")
     frequent = held.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    frequent = materialize(frequent.select("key", "keeper"), "line-frequent")  # so that a hot line's holders are split in the join
     drops = (
-        held.join(frequent.select("key", "keeper"), "key")
+        held.join(frequent, "key")
         .where(F.col("id") != F.col("keeper"))
         .groupBy("id", "text_hash")
         .agg(F.collect_set("pos").alias("drops"))
     )
     drops = materialize(drops, "line-drops")
-    hit, at, text_hash, lines = (fresh(docs.columns, c) for c in ("drops", "dropped_id", "text_hash", "lines"))
-    drops = drops.select(F.col("id").alias(at), F.col("text_hash").alias(f"{text_hash}_r"), F.col("drops").alias(hit))
-    joined = docs.withColumn(text_hash, F.xxhash64(text_col)).join(drops.hint("merge"), (F.col(id_col) == F.col(at)) & (F.col(text_hash) == F.col(f"{text_hash}_r")), "left")
+    names = list(docs.columns)
+    for c in ("drops", "dropped_id", "text_hash", "dropped_hash", "lines", "n_lines", "n_dropped"):
+        names.append(fresh(names, c))
+    hit, at, text_hash, gone_hash, lines, n_lines, n_dropped = names[-7:]
+    drops = drops.select(F.col("id").alias(at), F.col("text_hash").alias(gone_hash), F.col("drops").alias(hit))
+    same = (F.col(id_col) == F.col(at)) & (F.col(text_hash) == F.col(gone_hash))
+    joined = docs.withColumn(text_hash, F.xxhash64(text_col)).join(sized(drops), same, "left")
     joined = joined.withColumn(lines, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
     kept = F.when(F.col(hit).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(
         F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col(hit), i)), "\n")
