@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import qualified
 from .common import materialize, scratch_path
 from .zip_archive import ZipWriter, data_offset, read_directory
 
@@ -37,18 +38,25 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else f"<urn:x-page:{page_id}>"
+def _name(page_id: int | None, url: str | None = None, digest: str = "") -> str:
+    """A record's name; a page without an id is named by url and payload, so that reruns agree."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {digest}')}>" if page_id is None else f"<urn:x-page:{page_id}>"
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a qualified folder."""
+    scheme, _, rest = folder.partition(":")
+    return fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else folder)
 
 
 def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One gzip member with a response record, or a revisit record (headers only) if ``refers_to`` is given."""
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+    block, digest = http if revisit else http + payload, sha1_base32(payload)
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id, url, digest)}", f"WARC-Date: {DATE}",
+        f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
@@ -79,7 +87,7 @@ def decode_record(data: bytes) -> dict:
 
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         records, index = io.BytesIO(), []
 
         def flush() -> pa.RecordBatch:
@@ -115,7 +123,7 @@ def _reader(folder: str, payload: bool):
     schema = _RECORD if payload else pa.schema(list(_RECORD)[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = _store(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 with store.open_input_file(row["archive"]) as file:
@@ -151,7 +159,8 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_
     succeeded: a task that runs again leaves a file that nothing refers to.
 
     A row with a null id never is the one referred to; rows that share the
-    largest id are all responses. No rows: no archives. Other columns are ignored.
+    largest id are all responses. Ids are whole numbers. The folder is that of ``spark.checkpoint.dir`` on the file system that Spark takes it
+    to lie on. Archives' names differ from run to run, records do not. No rows: no archives. Other columns are ignored.
     """
     spark = pages.sparkSession
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -160,7 +169,8 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_
     copies = base.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper")).where("n > 1 AND keeper IS NOT NULL").select("digest", "keeper")
     copies = materialize(copies, "warc-copies")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    folder = scratch_path(spark, "warc")
+    folder = qualified(spark, scratch_path(spark, "warc"))
+    _store(folder)  # raises here if tasks could not write there
     rows = base.join(copies, "digest", "left").select("page_id", "url", "html", refers_to.alias("refers_to"))
     written = rows.mapInArrow(_writer(folder), "archive string, records long").withColumn("folder", F.lit(folder))
     return materialize(written, "warc-manifest")
