@@ -202,14 +202,14 @@ def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall:
 
 
 def near_duplicate_rows(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, keep, n): for every distinct row of ``docs`` (``row`` is the xxhash64 of the text) whether it stays if one document of each class does, and how often it stands.
+    """(id, row, keep, n): for every distinct row of ``docs`` (``row`` is the xxhash64 of the text) whether it stays if one document of each class does, and how often it stands (without a word: 1).
 
     The least row of a class by id (null last), then ``row``, stays. Rows without a word all stay; the classes are those of jaccard_join.
     """
     signed, texts = _joined(_rows(docs, id_col, text_col), threshold, n, recall)
-    placed = signed.join(texts.select("key", "root"), "key", "left").select("id", "row", "n", "n_words", "root")
+    placed = signed.join(texts.select("key", "root"), "key", "left").select("id", "row", F.when(F.col("n_words") > 0, F.col("n")).otherwise(1).alias("n"), "n_words", "root")
     placed = materialize(placed, "jaccard-placed")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     keepers = materialize(placed.where("n_words > 0").groupBy("root").agg(F.min(rank).alias("keeper")), "jaccard-keepers")
     first = (F.col("keeper.row") == F.col("row")) & F.col("keeper.id").eqNullSafe(F.col("id"))
-    return placed.join(keepers, "root", "left").select("id", "row", F.coalesce(first, F.lit(True)).alias("keep"), "n")
+    return placed.join(keepers, "root", "left").select("id", "row", (F.col("keeper").isNull() | first).alias("keep"), "n")

@@ -10,8 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fresh, materialize
+from .common import materialize, sized
 from .tokens import chunks, hash_words, mix
 
 #: Labelled documents that the classifier is fitted on, at most: those with the least hash of the id.
@@ -192,6 +193,28 @@ def _strength(level: DataFrame, p: str, mean: float) -> float:
     return float(min(1e6, max(1.0, mean * (1 - mean) / between - 1)))
 
 
+def _with_sites(scored: DataFrame, threshold: float) -> DataFrame:
+    """Adds low, toxic and keep to a written table with host, path, p_low and p_toxic, from the sums over all of it."""
+    sums = [F.count("*").alias("n"), F.sum("p_low").alias("s_low"), F.sum("p_toxic").alias("s_toxic")]
+    paths = materialize(scored.groupBy("host", "path").agg(*sums), "quality-paths")
+    hosts = materialize(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "s_low", "s_toxic")]), "quality-hosts")
+    total = hosts.agg(F.sum("n"), F.sum("s_low"), F.sum("s_toxic")).first()
+    n = max(1, total[0] or 0)
+    site = paths.join(hosts.select(F.col("host").alias("host_"), F.col("n").alias("host_n"), F.col("s_low").alias("host_low"), F.col("s_toxic").alias("host_toxic")), F.col("host").eqNullSafe(F.col("host_")))
+    site = site.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "n", "s_low", "s_toxic", "host_n", "host_low", "host_toxic")
+    out = scored.join(sized(materialize(site, "quality-sites")), F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+    for i, head in enumerate(("low", "toxic")):
+        mean = min(1 - 1e-6, max(1e-6, (total[1 + i] or 0.0) / n))
+        top, mid = _strength(hosts, f"s_{head}", mean), _strength(paths, f"s_{head}", mean)
+        p = F.col(f"p_{head}")
+        host = (F.lit(top * mean) + F.col(f"host_{head}") - p) / (F.lit(top - 1) + F.col("host_n"))
+        own = (F.lit(mid) * host + F.col(f"s_{head}") - p) / (F.lit(mid - 1) + F.col("n"))
+        odds = _logit(p) + _logit(own) - F.lit(float(np.log(mean / (1 - mean))))
+        out = out.withColumn(head, F.round(1 / (1 + F.exp(-odds)), 6))
+    out = out.withColumn("keep", (F.col("low") < threshold) & (F.col("toxic") < threshold))
+    return out
+
+
 def classify(docs: DataFrame, model: Classifier | None, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5) -> DataFrame:
     """One row per document: id, text_hash, host, path, p_low and p_toxic of the text, low and toxic with the site, keep.
 
@@ -217,33 +240,27 @@ def classify(docs: DataFrame, model: Classifier | None, *, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
     scored = materialize(rows.mapInArrow(run, f"id {kind}, text_hash long, host string, path string, p_low double, p_toxic double"), "quality-scores")
-    sums = [F.count("*").alias("n"), F.sum("p_low").alias("s_low"), F.sum("p_toxic").alias("s_toxic")]
-    paths = materialize(scored.groupBy("host", "path").agg(*sums), "quality-paths")
-    hosts = materialize(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "s_low", "s_toxic")]), "quality-hosts")
-    total = hosts.agg(F.sum("n"), F.sum("s_low"), F.sum("s_toxic")).first()
-    n = max(1, total[0] or 0)
-    site = paths.join(hosts.select(F.col("host").alias("host_"), F.col("n").alias("host_n"), F.col("s_low").alias("host_low"), F.col("s_toxic").alias("host_toxic")), F.col("host").eqNullSafe(F.col("host_")))
-    site = site.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "n", "s_low", "s_toxic", "host_n", "host_low", "host_toxic")
-    out = scored.join(site, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
-    for i, head in enumerate(("low", "toxic")):
-        mean = min(1 - 1e-6, max(1e-6, (total[1 + i] or 0.0) / n))
-        top, mid = _strength(hosts, f"s_{head}", mean), _strength(paths, f"s_{head}", mean)
-        p = F.col(f"p_{head}")
-        host = (F.lit(top * mean) + F.col(f"host_{head}") - p) / (F.lit(top - 1) + F.col("host_n"))
-        own = (F.lit(mid) * host + F.col(f"s_{head}") - p) / (F.lit(mid - 1) + F.col("n"))
-        odds = _logit(p) + _logit(own) - F.lit(float(np.log(mean / (1 - mean))))
-        out = out.withColumn(head, F.round(1 / (1 + F.exp(-odds)), 6))
-    out = out.withColumn("keep", (F.col("low") < threshold) & (F.col("toxic") < threshold))
+    out = _with_sites(scored, threshold)
     return out.select("id", "text_hash", "host", "path", "p_low", "p_toxic", "low", "toxic", "keep")
 
 
-def drop_rejected(docs: DataFrame, judged: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``classify`` rejected (same id and text).
+def keep_accepted(docs: DataFrame, model: Classifier | None, *, text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with the columns of ``docs``.
 
-    The rejected grow with the input, so the join sorts and merges at any size.
+    Rows go through the classifier whole and are written with their scores; the
+    sites' sums are joined to that table, so no text is shuffled unless there
+    are more sites than can be broadcast. Nulls, empty texts, repeated rows and a missing model are
+    as in ``classify``. Columns of any names pass through.
     """
-    hash_, id_, keep = fresh(docs.columns, "text_hash"), fresh(docs.columns, "rejected_id"), fresh(docs.columns, "keep")
-    rejected = judged.where("NOT keep").select(F.col("id").alias(id_), F.col("text_hash").alias(keep)).distinct()
-    rejected = materialize(rejected, "quality-rejected")
-    marked = docs.withColumn(hash_, F.xxhash64(text_col))
-    return marked.join(rejected.hint("merge"), F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(keep)), "left_anti").drop(hash_)
+    own = [f"c{i}" for i in range(len(docs.columns))]  # short names that clash with none of the scores'
+    text_at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = model.score(batch.column(text_at)) if model else np.zeros((2, len(batch)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[0]), pa.array(p[1])], [*batch.schema.names, "p_low", "p_toxic"])
+
+    rows = docs.toDF(*own).withColumns({"host": F.col(own[docs.columns.index(host_col)]).cast("string"), "path": F.col(own[docs.columns.index(path_col)]).cast("string")})
+    schema = StructType([*rows.schema.fields, StructField("p_low", DoubleType()), StructField("p_toxic", DoubleType())])
+    scored = materialize(rows.mapInArrow(run, schema), "quality-rows")
+    return _with_sites(scored, threshold).where("keep").select(*own).toDF(*docs.columns)

@@ -12,6 +12,8 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from codeloom.llm import common, components, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, mixing, quality, substring_dedup, tokens, url_filter, warc, zip_archive
@@ -79,6 +81,9 @@ def test_line_dedup(spark):
     assert got.columns == ["doc_id", "text", "n_lines", "drops", "n_lines_1", "n_dropped"]
     assert sorted([(r.doc_id, r.text, r.n_lines_1, r.n_dropped) for r in got.collect()], key=str) == lines_by_hand(rows)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    clash = df.select("doc_id", "text", F.lit(1).alias("text_hash_r"), F.lit(2).alias("dropped_hash"), F.lit(3).alias("Text_Hash_1"), F.lit(4).alias("dropped_id"), F.lit(5).alias("lines"))
+    again = line_dedup.dedup_lines(clash)
+    assert again.columns[:7] == clash.columns and sorted([(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in again.collect()], key=str) == lines_by_hand(rows)
 
 
 # ranges
@@ -180,6 +185,60 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint_documents(df.where("doc_id = 0")).first().near_next == 1.0
 
 
+def spark_xxhash(values):
+    """Spark's xxhash64: each value's hash is the next one's seed."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def spark_murmur(values):
+    """Spark's hash of ints."""
+    rotate, h, m = lambda x, r: (x << r | x >> 32 - r) & 0xFFFFFFFF, 42, 0xFFFFFFFF
+    for v in values:
+        h = (rotate(h ^ rotate(v * 0xCC9E2D51 & m, 15) * 0x1B873593 & m, 13) * 5 + 0xE6546B64) & m
+        h ^= 4
+        h = (h ^ h >> 16) * 0x85EBCA6B & m
+        h = (h ^ h >> 13) * 0xC2B2AE35 & m
+        h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def minhash_by_hand(text, n=5, bins=128, draws=1024):
+    ws = [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+    if not ws:
+        return ""
+    ws = [spark_xxhash([w]) for w in ws]
+    runs = [spark_xxhash(ws[i : i + n]) for i in range(len(ws) - n + 1)] if len(ws) >= n else [spark_xxhash([" ".join(map(str, ws))])]
+    least = {(h >> 57) + bins // 2: h for h in sorted(runs, reverse=True)}
+    out = ""
+    for b in range(bins):
+        lender = next((x for x in ([b] if b in least else (spark_murmur([b, j]) % bins for j in range(draws))) if x in least), None)
+        if lender is None:
+            lender = (min(runs) >> 57) + bins // 2
+        out += f"{least[lender] & 255:02x}"
+    return out
+
+
+def test_fingerprints_equal_plain_minhash_at_any_number_of_ranges(spark):
+    rng = random.Random(70)
+    texts = [" ".join(words(rng.choice([1, 3, 5, 8, 30, 200, 900]), 700 + i, 300)) for i in range(40)] + ["Ünï—Code 中文 ١٢", "", None]
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(3, "again the same id"), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fingerprint.fingerprint_documents(df, n_ranges=2000).collect()
+    assert len(got) == len(rows)
+    expected = sorted((str(i), len(t or ""), minhash_by_hand(t)) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_chars, r.fingerprint) for r in got) == expected
+    again = {(r.doc_id, r.fingerprint, r.edited_sha256) for r in fingerprint.fingerprint_documents(df.repartition(5), n_ranges=2).collect()}
+    assert again == {(r.doc_id, r.fingerprint, r.edited_sha256) for r in got}
+    by_id = {r.doc_id: r for r in got if r.doc_id not in (None, 3)}
+    for i in (20, 30):
+        a, b = by_id[i].fingerprint, by_id[i].edited_fingerprint
+        same = sum(a[k : k + 2] == b[k : k + 2] for k in range(0, 256, 2)) / 128
+        assert by_id[i].near_edited == pytest.approx(min(1, max(0, (same - 1 / 256) / (1 - 1 / 256))))
+
+
 # 8: Jaccard join
 
 
@@ -489,6 +548,20 @@ def test_all_letters_of_large_alphabets_count(monkeypatch, common):
     assert labels[:40] == [k for k, _ in texts[:40]]
 
 
+def test_more_labels_than_fit_full_tables(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 8 << 20)
+    monkeypatch.setattr(language_id, "REFERENCE_TOTAL", 90 * 1500)
+    rng, rows = random.Random(13), []
+    for k in range(90):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choice(own) for _ in range(60)), f"l{k}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit(df)
+    assert len(model.languages) == 90 and model.width < 20 and model.table.nbytes <= 8 << 20
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.99 * len(rows)
+
+
 def test_language_id(spark):
     syllables = {"aa": ["ba", "bo", "bi"], "bb": ["ku", "ke", "ko"]}
     rng, rows = random.Random(11), []
@@ -533,8 +606,39 @@ def test_quality_classifier(spark):
     got = {r.id: r for r in judged.collect()}
     wrong = [i for i, _, _, _, kind in rows if got[i].keep != (kind == "good")]
     assert len(got) == len(rows) + 4 and len(wrong) <= 8
-    kept = quality.drop_rejected(df.withColumn("text_hash", F.lit(1)), judged)
-    assert kept.columns == ["doc_id", "text", "lang", "source", "kind", "text_hash"] and kept.count() == judged.where("keep").count()
+    clash = df.withColumns({"p_low": F.lit("x"), "host": F.lit(b"y"), "keep": F.array(F.lit(1))})
+    kept = quality.keep_accepted(clash, quality.fit(df, lab))
+    assert kept.columns == clash.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.id) for r in judged.where("keep").collect())
     free = quality.classify(df, quality.fit(df, lab.limit(0)))
     assert free.where("keep").count() == len(rows) + 4
     assert quality.classify(df.limit(0), None).count() == 0
+    # the site posteriors recomputed by hand
+    rows = [(r.host, r.path, r.p_low, r.p_toxic, r.low, r.toxic) for r in got.values()]
+    logit = lambda p: np.log(min(1 - 1e-6, max(1e-6, p)) / (1 - min(1 - 1e-6, max(1e-6, p))))
+    for k in (0, 1):
+        p_of, shown_of = [r[2 + k] for r in rows], [r[4 + k] for r in rows]
+        mean = min(1 - 1e-6, max(1e-6, sum(p_of) / len(rows)))
+        groups = {}
+        for level, key in (("host", lambda r: r[0]), ("path", lambda r: r[:2])):
+            held = defaultdict(list)
+            for r, p in zip(rows, p_of, strict=True):
+                held[key(r)].append(p)
+            spread = sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in held.values()) - len(held) * mean * (1 - mean)
+            strength = min(1e6, max(1.0, mean * (1 - mean) / max(1e-9, spread / len(rows)) - 1))
+            groups[level] = ({x: (len(v), sum(v)) for x, v in held.items()}, strength)
+        (hosts, top), (paths, mid) = groups["host"], groups["path"]
+        for r, p, shown in zip(rows, p_of, shown_of, strict=True):
+            host = (top * mean + hosts[r[0]][1] - p) / (top - 1 + hosts[r[0]][0])
+            own = (mid * host + paths[r[:2]][1] - p) / (mid - 1 + paths[r[:2]][0])
+            assert shown == pytest.approx(1 / (1 + np.exp(-(logit(p) + logit(own) - np.log(mean / (1 - mean))))), abs=2e-6)
+
+
+def test_quality_held_out(spark):
+    """Fitted on two thirds of the labels, right on nine tenths of the others at least, of either kind."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
+    judged = quality.classify(docs, quality.fit(docs, labels.where(~held)))
+    test = judged.join(labels.where(held), F.col("id") == F.col("doc_id")).withColumn("good", F.expr("quality = 1 AND toxic = 0"))
+    right = {r.good: r.right for r in test.groupBy("good").agg(F.avg((F.col("keep") == F.col("good")).cast("int")).alias("right")).collect()}
+    assert min(right.values()) >= 0.9, right
