@@ -55,5 +55,11 @@ def import_module(module: Column, imported: Column, level: Column) -> Column:
     return F.when(level <= 0, imported).otherwise(F.array_join(F.concat(base, F.when(imported != "", F.array(imported)).otherwise(F.array().cast("array<string>"))), "."))
 
 
+def numbered(prefix: str, n: Column) -> Column:
+    """``prefix`` and the number in three digits or more."""
+    text = n.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.lit(3), F.length(text)), F.lit("0")))
+
+
 def major(version: Column) -> Column:
     return F.coalesce(F.split_part(version, F.lit("."), F.lit(1)).try_cast("int"), F.lit(0))

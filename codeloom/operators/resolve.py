@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..functions.ids import any_of, import_module, module_name, prefixed, python_id, unresolved_id
 from ..schema import EDGES, NODES
+from ..storage import materialize
 from .frameworks import Framework, node_type
 from .normalize import dedup_edges, normalize_edges, normalize_nodes, upsert_nodes
+from .ranges import global_prefix, shuffle_partitions
 from .templates import template_edges, template_nodes
 
 _RELATION = {"model": ("PARTICLE", "PARTICLE_ENTANGLEMENT"), "serializer_class": ("TRANSFORM", "SERIALIZER_ENTANGLEMENT")}
@@ -41,6 +43,7 @@ class Names:
         self.by_qualified = self.all.groupBy(F.col("qualified").alias("q")).agg(F.max_by(found, order).alias("hit"))
         self.in_file = self.all.where("parent = ''").groupBy("rel_path", F.col("name").alias("local")).agg(F.count("*").alias("n"), F.first(found).alias("here")).where("n = 1").drop("n")
         self.in_project = self.all.groupBy(F.col("name").alias("local")).agg(F.count("*").alias("n"), F.first(found).alias("anywhere")).where("n = 1").drop("n")
+        self.in_project = materialize(self.in_project, "names")  # so that the join splits names that very many references begin with
         self.imports = imports(facts)
 
     def resolve(self, refs: DataFrame) -> DataFrame:
@@ -150,7 +153,7 @@ def build_graph(files: DataFrame, facts: DataFrame, framework: Framework) -> tup
     parts = shape(t_edges.select(place(1).alias("place"), F.col("target").alias("id"), "name", shown.alias("qualified_name"), F.col("target_type").alias("type"), "language", F.col("path").alias("file"), none.cast("int").alias("line_start"), none.cast("int").alias("line_end"), default(own_mass, F.when(ajax, F.lit(1.0)).otherwise(half), F.when(ajax, F.lit(0.7)).otherwise(half)).alias("metadata"), F.lit(False).alias("imported")))
     nodes = real.unionByName(placeholders).unionByName(front).unionByName(parts)
     nodes = upsert_nodes(nodes.withColumnRenamed("place", "node_idx"))
-    # positions become dense only for display; the hash of the place keeps order within a project of 2**31 files
+    # a file's number, and the place within it
     nodes = _number(nodes, "node_idx").drop("imported")
 
     columns = ["place", "source", "target", "type", "confidence", "resolution", "line"]
@@ -165,10 +168,8 @@ def build_graph(files: DataFrame, facts: DataFrame, framework: Framework) -> tup
 
 
 def _number(df: DataFrame, column: str) -> DataFrame:
-    """``column`` (a place: code or template, file, sequence) as a long in the same order: files are numbered, sequences follow within."""
-    from pyspark.sql import Window
-
-    files = df.select(F.col(f"{column}.k").alias("k"), F.col(f"{column}.rel_path").alias("f")).distinct()
-    files = files.withColumn("no", F.row_number().over(Window.orderBy("k", "f")))  # files, not nodes
+    """``column`` (a place: code or template, file, sequence) as a long in the same order: files are numbered by ranges, sequences follow within."""
+    files = df.select(F.col(f"{column}.k").alias("k"), F.col(f"{column}.rel_path").alias("f")).distinct().withColumn("one", F.lit(1))
+    files = global_prefix(materialize(files, "file-order"), ["k", "f"], "one", "no", shuffle_partitions(df.sparkSession)).drop("one")
     joined = df.join(files, (F.col(f"{column}.k") == F.col("k")) & (F.col(f"{column}.rel_path") == F.col("f")))
-    return joined.withColumn(column, F.col("no").cast("long") * (1 << 24) + F.col(f"{column}.seq")).drop("k", "f", "no")
+    return joined.withColumn(column, F.col("no").cast("long") * (1 << 32) + F.col(f"{column}.seq")).drop("k", "f", "no")

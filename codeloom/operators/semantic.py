@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
+from ..functions.ids import numbered
+from ..storage import materialize
 from .normalize import latest_nodes
+from .ranges import global_prefix, shuffle_partitions
 
 
 def profiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,8 +68,8 @@ def clusters(profiled: DataFrame) -> DataFrame:
     score = F.lit(0.5) + F.when(F.size("data_subjects") > 0, 0.25).otherwise(0.0) + F.when((F.size("node_types") == 1) | (F.size("intents") <= 2), 0.15).otherwise(0.0) + F.when(F.col("shown"), 0.1).otherwise(0.0)
     about = F.when(F.size("data_subjects") > 0, F.array_join("data_subjects", ", ")).otherwise(F.col("scope"))
     text = F.concat(F.initcap(F.replace("role", F.lit("_"), F.lit(" "))), F.lit(" around "), about, F.lit(" ("), F.array_join("intents", ", "), F.lit(")"))
-    n = F.row_number().over(Window.orderBy("scope", "role"))  # clusters, not members: names follow one order
-    return g.select(F.concat(F.lit("semantic_cluster_"), F.lpad(n, 3, "0")).alias("id"), "scope", "role", "members", "data_subjects", "intents", "node_types", F.round(F.least(score, F.lit(0.95)), 2).alias("confidence"), text.alias("summary"))
+    g = global_prefix(materialize(g.withColumn("one", F.lit(1)), "clusters"), ["scope", "role"], "one", "no", shuffle_partitions(profiled.sparkSession))
+    return g.select(numbered("semantic_cluster_", F.col("no")).alias("id"), "scope", "role", "members", "data_subjects", "intents", "node_types", F.round(F.least(score, F.lit(0.95)), 2).alias("confidence"), text.alias("summary"))
 
 
 def memberships(grouped: DataFrame) -> DataFrame:

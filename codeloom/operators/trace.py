@@ -2,52 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import numbered
 from ..functions.notation import HTTP, annotation, role_of, step
 from ..schema import TERMINAL_TYPES, TRACE_PRIORITY
-from .normalize import latest_nodes, rank_edges
+from ..storage import materialize
+from .normalize import rank_edges
+from .traverse import _SHOWN, node_facts
 
-_SHOWN = ("mass", "charge", "spin", "energy", "coupling", "lifetime")
 _HTTP_NOTE = "{ₘ%s,ᴱ^%s,ᵏ^%s}" % (HTTP["mass"], HTTP["energy"], HTTP["coupling"])
 
 
-def _facts(nodes: DataFrame) -> DataFrame:
-    have = [f.name for f in nodes.schema["metadata"].dataType] if "metadata" in nodes.columns else []
-    meta = F.struct(*[(F.col(f"metadata.{k}") if k in have else F.lit(None)).cast("double").alias(k) for k in _SHOWN])
-    return latest_nodes(nodes.select("id", "node_idx", "type", meta.alias("meta"))).select(F.col("id").alias("node"), F.col("type").alias("kind"), "meta")
-
-
 def number_paths(paths: DataFrame) -> DataFrame:
     """Adds path_no and path_id (``path_001``), depth-first within each root."""
     n = F.row_number().over(Window.partitionBy("root").orderBy("sort_key"))
-    return paths.withColumn("path_no", n).withColumn("path_id", F.concat(F.lit("path_"), F.lpad("path_no", 3, "0")))
+    return paths.withColumn("path_no", n).withColumn("path_id", numbered("path_", F.col("path_no")))
 
 
-def render_paths(paths: DataFrame, nodes: DataFrame, interaction: str = "backend") -> DataFrame:
-    """Adds trace (role, name, metadata), notation, legacy_notation and truncated to numbered paths.
+def render_paths(paths: DataFrame, interaction: str = "backend") -> DataFrame:
+    """Adds trace (role, name, metadata), notation, legacy_notation and truncated to numbered paths (with their node_facts).
 
     A node's role comes from the last edge of its path that leads to it, so an
-    edge that closes a cycle gives the role of its target.
+    edge that closes a cycle gives the role of its target. All within the row.
     """
-    flat = paths.select("*", F.posexplode("node_ids").alias("pos", "node")).join(_facts(nodes), "node", "left")
-    via = F.element_at(F.filter("hops", lambda h: h["target"] == F.col("node")), -1)["type"]
-    via = F.when(F.exists("hops", lambda h: h["target"] == F.col("node")), via)
-    role = role_of(via, F.col("kind"))
-    flat = flat.withColumn("piece", F.struct("pos", role.alias("role"), F.col("node").alias("name"), F.col("meta").alias("metadata"), step(role, F.col("node"), annotation(F.col("meta"))).alias("long"), step(role, F.col("node")).alias("short")))
-    keys = [c for c in paths.columns]
-    out = flat.groupBy("root", "path_no").agg(F.array_sort(F.collect_list("piece")).alias("pieces"), *[F.first(c).alias(c) for c in keys if c not in ("root", "path_no")])
     http = interaction == "backend"
-    join = lambda field, head: F.concat(F.lit(head), F.array_join(F.transform("pieces", lambda p: p[field]), " -> "))
-    trace = F.transform("pieces", lambda p: F.struct(p["role"].alias("role"), p["name"].alias("name"), p["metadata"].alias("metadata")))
+    via = lambda node: F.get(F.filter(F.reverse("hops"), lambda h: h["target"] == node), F.lit(0))["type"]
+    trace = F.transform("node_ids", lambda node, i: F.struct(role_of(via(node), F.get("node_facts", i)["kind"]).alias("role"), node.alias("name"), F.get("node_facts", i)["meta"].alias("metadata")))
+    out = paths.withColumn("trace", trace)
+    join = lambda note, head: F.concat(F.lit(head), F.array_join(F.transform("trace", lambda p: step(p["role"], p["name"], note(p))), " -> "))
+    out = out.withColumns({
+        "notation": join(lambda p: annotation(p["metadata"]), f"g[URL]{_HTTP_NOTE} -> " if http else ""), "legacy_notation": join(lambda _: F.lit(""), "g[URL] -> " if http else ""),
+        "truncated": F.col("termination") == "max_depth",
+    })
     if http:
         first = F.struct(*[F.lit(HTTP.get(k)).cast("double").alias(k) for k in _SHOWN])
-        trace = F.concat(F.array(F.struct(F.lit("PROPAGATOR_HTTP").alias("role"), F.lit("URL").alias("name"), first.alias("metadata"))), trace)
-    return out.select(
-        *keys, trace.alias("trace"), join("long", f"g[URL]{_HTTP_NOTE} -> " if http else "").alias("notation"), join("short", "g[URL] -> " if http else "").alias("legacy_notation"),
-        (F.col("termination") == "max_depth").alias("truncated"),
-    )
+        out = out.withColumn("trace", F.concat(F.array(F.struct(F.lit("PROPAGATOR_HTTP").alias("role"), F.lit("URL").alias("name"), first.alias("metadata"))), "trace"))
+    return out.drop("node_facts")
 
 
 def path_stats(paths: DataFrame) -> DataFrame:
@@ -66,7 +60,7 @@ def ledger(rendered: DataFrame) -> DataFrame:
 def slice_nodes(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct nodes of each root's paths; unknown ids as UNKNOWN."""
     ids = paths.select("root", F.explode("node_ids").alias("node")).distinct()
-    return ids.join(_facts(nodes), "node", "left").select("root", F.col("node").alias("id"), F.coalesce("kind", F.lit("UNKNOWN")).alias("type"))
+    return ids.join(node_facts(nodes), "node", "left").select("root", F.col("node").alias("id"), F.coalesce("kind", F.lit("UNKNOWN")).alias("type"))
 
 
 def slice_edges(paths: DataFrame) -> DataFrame:
@@ -80,23 +74,26 @@ def trace_flat(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth:
     A path does not come back into itself; siblings may repeat a node. Terminal
     types and unknown targets are visited and not followed.
     """
-    facts = _facts(nodes)
+    facts = node_facts(nodes)
     steps = rank_edges(edges.select("edge_idx", "source", "target", "type"), TRACE_PRIORITY[:-1]).where("coalesce(target, '') <> ''")
-    steps = steps.join(facts, F.col("target") == F.col("node"), "left").select(F.col("source").alias("from"), "target", F.col("type").alias("via"), "rank", F.col("kind").alias("to_kind"))
+    steps = steps.join(facts, F.col("target") == F.col("node"), "left")
+    steps = materialize(steps.select(F.col("source").alias("from"), "target", F.col("type").alias("via"), "rank", F.col("kind").alias("to_kind"), F.col("meta").alias("to_meta")), "trace-steps")
     state = roots.select("root").distinct().join(facts, F.col("root") == F.col("node"), "left")
-    state = state.select("root", F.col("root").alias("at"), F.array("root").alias("seen"), F.array().cast("array<int>").alias("sort_key"), role_of(F.lit(None).cast("string"), F.col("kind")).alias("role"), F.lit(True).alias("open"))
+    state = state.select("root", F.col("root").alias("at"), F.array("root").alias("seen"), F.array().cast("array<int>").alias("sort_key"), role_of(F.lit(None).cast("string"), F.col("kind")).alias("role"), "meta", F.lit(True).alias("open"))
+    levels = [materialize(state, "trace")]
     for _ in range(max_depth):
-        both = state.withColumn("grow", F.explode(F.when(F.col("open"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-        joined = both.join(steps, F.col("grow") & (F.col("at") == F.col("from")), "left").where(~F.col("grow") | (F.col("target").isNotNull() & ~F.array_contains("seen", F.col("target"))))
-        grew = F.col("grow")
+        state = levels[-1].where("open")
+        if state.isEmpty():
+            break
+        joined = state.drop("role", "meta", "open").join(steps, F.col("at") == F.col("from")).where(~F.array_contains("seen", F.col("target")))
         state = joined.select(
-            "root", F.when(grew, F.col("target")).otherwise(F.col("at")).alias("at"), F.when(grew, F.concat("seen", F.array("target"))).otherwise(F.col("seen")).alias("seen"),
-            F.when(grew, F.concat("sort_key", F.array("rank"))).otherwise(F.col("sort_key")).alias("sort_key"),
-            F.when(grew, role_of(F.col("via"), F.col("to_kind"))).otherwise(F.col("role")).alias("role"),
-            (grew & F.col("to_kind").isNotNull() & ~F.col("to_kind").isin(*TERMINAL_TYPES)).alias("open"),
+            "root", F.col("target").alias("at"), F.concat("seen", F.array("target")).alias("seen"), F.concat("sort_key", F.array("rank")).alias("sort_key"),
+            role_of(F.col("via"), F.col("to_kind")).alias("role"), F.col("to_meta").alias("meta"), (F.col("to_kind").isNotNull() & ~F.col("to_kind").isin(*TERMINAL_TYPES)).alias("open"),
         )
+        levels.append(materialize(state, "trace"))
+    visits = reduce(DataFrame.unionByName, [level.drop("seen", "open") for level in levels])
     pos = F.row_number().over(Window.partitionBy("root").orderBy("sort_key"))
-    return state.join(facts, F.col("at") == F.col("node"), "left").select("root", pos.alias("pos"), F.col("at").alias("node"), "role", F.col("meta").alias("metadata"))
+    return visits.select("root", pos.alias("pos"), F.col("at").alias("node"), "role", F.col("meta").alias("metadata"))
 
 
 def flat_ledger(visits: DataFrame, interaction: str = "backend") -> DataFrame:

@@ -1,61 +1,76 @@
-"""Traversals: path enumeration by a chain of joins, breadth-first search and closures by rounds.
+"""Traversals: paths level by level, breadth-first search by rounds, closures by components.
 
-Paths carry their state in the row: a level is one left join in which finished
-rows pass through, so a traversal of depth d is a plan of d joins without a
-driver round trip. Searches with a seen set run in rounds that are written to
-shared storage.
+A level of paths is one join of the paths that go on with the edges out of
+their ends; it is written to shared storage, paths that end there are set
+aside, and only the others take part in the next one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import edge_confidence
 from ..schema import DEPENDENCY_EDGES, TERMINAL_TYPES, TRACE_PRIORITY
 from ..storage import materialize
+from .components import connected_components
 from .normalize import latest_nodes, rank_edges
 
-#: Levels that one plan holds; deeper traversals are written out in between.
-_LEVELS_PER_PLAN = 6
 _HOP = "array<struct<source:string,target:string,type:string>>"
+_SHOWN = ("mass", "charge", "spin", "energy", "coupling", "lifetime")
+
+
+def node_facts(nodes: DataFrame) -> DataFrame:
+    """(node, kind, meta): type and shown properties of each id."""
+    have = nodes.schema["metadata"].dataType.names if "metadata" in nodes.columns else []
+    meta = F.struct(*[(F.col(f"metadata.{k}") if k in have else F.lit(None)).cast("double").alias(k) for k in _SHOWN])
+    return latest_nodes(nodes.select("id", "node_idx", "type", meta.alias("meta"))).select(F.col("id").alias("node"), F.col("type").alias("kind"), "meta")
 
 
-def enumerate_paths(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 4) -> DataFrame:
+def enumerate_paths(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 4, *, with_facts: bool = False) -> DataFrame:
     """All root-to-leaf paths of each ``roots.root``: root, node_ids, hops, sort_key, termination, cycle_to.
 
     A path ends at a terminal type, a node without edges (leaf), the depth
     limit, or an edge back into itself (cycle: the closing edge is kept, its
     target is not repeated). Edges to blank targets are not followed.
-    ``sort_key`` (ranks of the edges taken) orders a root's paths depth-first.
+    ``sort_key`` (ranks of the edges taken) orders a root's paths depth-first. ``with_facts`` adds node_facts: (kind, meta) of each of node_ids.
     """
-    kinds = latest_nodes(nodes.select("id", "node_idx", "type")).select(F.col("id").alias("node"), F.col("type").alias("kind"))
-    steps = rank_edges(edges.select("edge_idx", "source", "target", "type"), TRACE_PRIORITY)
-    steps = steps.join(kinds, F.col("target") == F.col("node"), "left").select(F.col("source").alias("from"), "target", "type", "rank", F.col("kind").alias("target_kind"))
-    leaves = edges.select(F.col("source").alias("from")).distinct().withColumn("goes_on", F.lit(True))
-    state = roots.select("root").distinct().join(kinds, F.col("root") == F.col("node"), "left")
-    ended = lambda: F.when(F.col("kind").isin(*TERMINAL_TYPES), "terminal")
-    state = state.select("root", F.array("root").alias("node_ids"), F.array().cast(_HOP).alias("hops"), F.array().cast("array<int>").alias("sort_key"), ended().alias("termination"), F.lit(None).cast("string").alias("cycle_to"), F.col("root").alias("at"))
-    for level in range(max_depth):
-        if level and level % _LEVELS_PER_PLAN == 0:
-            state = materialize(state, "paths")
-        open_ = F.col("termination").isNull()
-        joined = state.join(steps, open_ & (F.col("at") == F.col("from")), "left").where(~open_ | F.col("from").isNull() | (F.coalesce(F.col("target"), F.lit("")) != ""))
+    facts = node_facts(nodes) if with_facts else latest_nodes(nodes.select("id", "node_idx", "type")).select(F.col("id").alias("node"), F.col("type").alias("kind"))
+    fact = F.struct(*[c for c in facts.columns if c != "node"])
+    steps = rank_edges(edges.select("edge_idx", "source", "target", "type"), TRACE_PRIORITY).join(facts, F.col("target") == F.col("node"), "left")
+    steps = materialize(steps.select(F.col("source").alias("from"), "target", "type", "rank", F.col("kind").alias("target_kind"), fact.alias("target_fact")), "path-steps")
+    state = roots.select("root").distinct().join(facts, F.col("root") == F.col("node"), "left")
+    ended = F.when(F.col("kind").isin(*TERMINAL_TYPES), "terminal")
+    kept = ["root", "node_ids", *["node_facts"] * with_facts, "hops", "sort_key", "termination", "cycle_to"]
+    state = state.select("root", F.array("root").alias("node_ids"), F.array(fact).alias("node_facts"), F.array().cast(_HOP).alias("hops"), F.array().cast("array<int>").alias("sort_key"), ended.alias("termination"), F.lit(None).cast("string").alias("cycle_to"), F.col("root").alias("at"))
+    state = materialize(state.select(*kept, "at"), "paths")
+    done = [state.where("termination IS NOT NULL")]
+    for _ in range(max_depth):
+        state = state.where("termination IS NULL")
+        if state.isEmpty():
+            break
+        joined = state.join(steps, F.col("at") == F.col("from"), "left").where(F.col("from").isNull() | (F.coalesce(F.col("target"), F.lit("")) != ""))
         moved, back = F.col("from").isNotNull(), F.array_contains("node_ids", F.col("target"))
         onward = moved & ~F.coalesce(back, F.lit(False))
         hop = F.array(F.struct(F.col("from").alias("source"), "target", "type"))
-        state = joined.select(
-            "root",
-            F.when(onward, F.concat("node_ids", F.array("target"))).otherwise(F.col("node_ids")).alias("node_ids"),
-            F.when(moved, F.concat("hops", hop)).otherwise(F.col("hops")).alias("hops"),
-            F.when(moved, F.concat("sort_key", F.array("rank"))).otherwise(F.col("sort_key")).alias("sort_key"),
-            F.when(~open_, F.col("termination")).when(~moved, "leaf").when(back, "cycle").when(F.col("target_kind").isin(*TERMINAL_TYPES), "terminal").alias("termination"),
-            F.when(moved & back, F.col("target")).otherwise(F.col("cycle_to")).alias("cycle_to"),
-            F.when(onward, F.col("target")).otherwise(F.col("at")).alias("at"),
-        )
-    state = state.join(leaves, F.col("termination").isNull() & (F.col("at") == F.col("from")), "left")
-    last = F.coalesce("termination", F.when(F.col("goes_on"), "max_depth").otherwise("leaf"))
-    return state.select("root", "node_ids", "hops", "sort_key", last.alias("termination"), "cycle_to")
+        columns = {
+            "node_ids": F.when(onward, F.concat("node_ids", F.array("target"))).otherwise(F.col("node_ids")),
+            "hops": F.when(moved, F.concat("hops", hop)).otherwise(F.col("hops")),
+            "sort_key": F.when(moved, F.concat("sort_key", F.array("rank"))).otherwise(F.col("sort_key")),
+            "termination": F.when(~moved, "leaf").when(back, "cycle").when(F.col("target_kind").isin(*TERMINAL_TYPES), "terminal"),
+            "cycle_to": F.when(moved & back, F.col("target")),
+            "at": F.when(onward, F.col("target")).otherwise(F.col("at")),
+        }
+        if with_facts:
+            columns["node_facts"] = F.when(onward, F.concat("node_facts", F.array("target_fact"))).otherwise(F.col("node_facts"))
+        state = materialize(joined.select("root", *[c.alias(k) for k, c in columns.items()]).select(*kept, "at"), "paths")
+        done.append(state.where("termination IS NOT NULL"))
+    leaves = steps.select("from").distinct().withColumn("goes_on", F.lit(True))
+    last = state.where("termination IS NULL").join(leaves, F.col("at") == F.col("from"), "left")
+    done.append(last.withColumn("termination", F.when(F.col("goes_on"), "max_depth").otherwise("leaf")))
+    return reduce(DataFrame.unionByName, [d.select(kept) for d in done])
 
 
 def impact_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, *, weighted: bool = True, least: float = 0.2) -> DataFrame:
@@ -69,25 +84,23 @@ def impact_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, *, weig
     back = edges.where(F.col("type").isin(*DEPENDENCY_EDGES) & (F.coalesce(F.col("source"), F.lit("")) != "")).select(
         F.col("target").alias("into"), F.struct("source", "target", "type", sure.alias("confidence"), "resolution").alias("edge")
     )
+    back = materialize(back, "impact-edges")
     kind = back.schema["edge"].dataType.simpleString()
-    state = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.array("seed").alias("node_path"), F.array().cast(f"array<{kind}>").alias("edge_path"), F.lit(0).alias("depth"), F.col("confidence").cast("double").alias("confidence"), F.lit(True).alias("open"))
+    state = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.array("seed").alias("node_path"), F.array().cast(f"array<{kind}>").alias("edge_path"), F.lit(0).alias("depth"), F.col("confidence").cast("double").alias("confidence"))
+    levels = [state.limit(0)]
     for depth in range(max_depth):
-        if depth and depth % _LEVELS_PER_PLAN == 0:
-            state = materialize(state, "impact")
-        both = state.withColumn("grow", F.explode(F.when(F.col("open"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-        joined = both.join(back, F.col("grow") & (F.col("node") == F.col("into")), "left").where(~F.col("grow") | (F.col("edge").isNotNull() & ~F.array_contains("node_path", F.col("edge.source"))))
-        grew = F.col("grow")
+        joined = state.join(back, F.col("node") == F.col("into")).where(~F.array_contains("node_path", F.col("edge.source")))
         next_ = F.round(F.col("confidence") * F.col("edge.confidence") * F.lit(0.96 if depth == 0 else 0.92), 4) if weighted else F.col("confidence")
-        state = joined.select(
-            "seed",
-            F.when(grew, F.col("edge.source")).otherwise(F.col("node")).alias("node"),
-            F.when(grew, F.concat("node_path", F.array("edge.source"))).otherwise(F.col("node_path")).alias("node_path"),
-            F.when(grew, F.concat("edge_path", F.array("edge"))).otherwise(F.col("edge_path")).alias("edge_path"),
-            F.when(grew, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"),
-            F.when(grew, next_).otherwise(F.col("confidence")).alias("confidence"),
-            (grew & ((next_ >= least) if weighted else F.lit(True))).alias("open"),
-        )
-    return state.where("depth > 0").drop("open")
+        level = joined.select(
+            "seed", F.col("edge.source").alias("node"), F.concat("node_path", F.array("edge.source")).alias("node_path"), F.concat("edge_path", F.array("edge")).alias("edge_path"),
+            F.lit(depth + 1).alias("depth"), next_.alias("confidence"),
+        )
+        level = materialize(level, "impact")
+        levels.append(level)
+        state = level.where(F.col("confidence") >= least) if weighted else level
+        if state.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, levels)
 
 
 def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -112,15 +125,10 @@ def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Ids of everything connected with ``targets.id`` over edges in either direction, the targets included."""
     links = edges.select("source", "target").where("coalesce(source, '') <> '' AND coalesce(target, '') <> ''")
-    links = materialize(links.unionByName(links.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct(), "closure-links")
-    seen = materialize(targets.select("id").distinct(), "closure")
-    frontier = seen
-    while True:
-        found = frontier.join(links, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct()
-        frontier = materialize(found.join(seen, "id", "left_anti"), "closure")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+    roots = materialize(connected_components(links, "source", "target"), "closure-roots")
+    ids = targets.select("id").distinct()
+    met = roots.join(ids, F.col("node") == F.col("id"), "left_semi").select("root").distinct()
+    return roots.join(met, "root", "left_semi").select(F.col("node").alias("id")).unionByName(ids).distinct()
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:

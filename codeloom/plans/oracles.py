@@ -82,7 +82,7 @@ done AS (
 numbered AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY key) AS no FROM done WHERE termination IS NOT NULL)"""
 
 
-_FLAT = "SELECT root, 'path_' || lpad(no::VARCHAR, 3, '0') AS path_id, array_to_string(ids, '>') AS nodes, hops, termination, cycle_to FROM numbered"
+_FLAT = "SELECT root, 'path_' || lpad(no::VARCHAR, greatest(3, length(no::VARCHAR))::INT, '0') AS path_id, array_to_string(ids, '>') AS nodes, hops, termination, cycle_to FROM numbered"
 _RING = _paths(26, "CASE WHEN id LIKE 'nation:%' THEN 'MEDIATOR' ELSE type END", "id LIKE 'nation:%'")
 ORACLES["paths_enumerate"] = f"{_paths(4)} {_FLAT}"
 ORACLES["paths_depth_cut"] = f"{_paths(1)} {_FLAT}"
@@ -103,12 +103,12 @@ _PIECES = f"""pieces AS (SELECT p.root, p.no, u.pos, n.id, n.mass, n.type, {_rol
   FROM numbered p CROSS JOIN unnest(p.ids) WITH ORDINALITY AS u(id, pos) JOIN nodes n ON n.id = u.id)"""
 _HTTP = "g[URL]{ₘ0.1,ᴱ^1.0,ᵏ^0.9} -> "
 ORACLES["notation_strings"] = f"""{_paths(4)}, {_PIECES}
-SELECT root, 'path_' || lpad(no::VARCHAR, 3, '0') AS path_id, '{_HTTP}' || string_agg({_sym('role')} || '[' || id || ']' || {_NOTE}, ' -> ' ORDER BY pos) AS notation,
+SELECT root, 'path_' || lpad(no::VARCHAR, greatest(3, length(no::VARCHAR))::INT, '0') AS path_id, '{_HTTP}' || string_agg({_sym('role')} || '[' || id || ']' || {_NOTE}, ' -> ' ORDER BY pos) AS notation,
        'g[URL] -> ' || string_agg({_sym('role')} || '[' || id || ']', ' -> ' ORDER BY pos) AS legacy_notation, max(termination) = 'max_depth' AS truncated FROM pieces GROUP BY root, no"""
 ORACLES["branch_ledger"] = f"""{_paths(4)}, {_PIECES}, lines AS (SELECT root, no, string_agg({_sym('role')} || '[' || id || ']', ' -> ' ORDER BY pos) AS l FROM pieces GROUP BY root, no)
 SELECT root, string_agg('PATH ' || no || ': ' || l, chr(10) ORDER BY no) AS legacy, count(*) AS path_count FROM lines GROUP BY root"""
 ORACLES["diagram_categories"] = f"""{_paths(4)}, {_PIECES}
-SELECT root, 'path_' || lpad(no::VARCHAR, 3, '0') AS path_id, (count(*) FILTER (WHERE role LIKE 'VERTEX%' OR role = 'MEDIATOR'))::INT AS vertices, (1 + count(*) FILTER (WHERE role LIKE 'PROPAGATOR%'))::INT AS propagators,
+SELECT root, 'path_' || lpad(no::VARCHAR, greatest(3, length(no::VARCHAR))::INT, '0') AS path_id, (count(*) FILTER (WHERE role LIKE 'VERTEX%' OR role = 'MEDIATOR'))::INT AS vertices, (1 + count(*) FILTER (WHERE role LIKE 'PROPAGATOR%'))::INT AS propagators,
        (count(*) FILTER (WHERE role LIKE 'PARTICLE%' OR role IN ('FRONTEND', 'JAVASCRIPT')))::INT AS particles, (count(*) + 1)::INT AS interactions FROM pieces GROUP BY root, no"""
 _VISITS = f"""WITH RECURSIVE {_GRAPH},
 steps AS (SELECT e.source, e.target, e.type, (row_number() OVER (PARTITION BY e.source ORDER BY {_PRIORITY.replace('type', 'e.type', 1)}, e.target, e.edge_idx))::INT AS rank, n.type AS kind FROM edges e LEFT JOIN nodes n ON n.id = e.target),
@@ -239,7 +239,7 @@ _CLUSTERS = f"""{_PROFILES}, keyed AS (SELECT 'data:' || s AS scope, role, id, t
   UNION ALL SELECT 'data:' || s, 'data_workflow', id, type, intent, subjects FROM (SELECT *, unnest(subjects) AS s FROM profiles WHERE role = 'crud_interface')
   UNION ALL SELECT 'tokens:' || array_to_string(tokens[1:2], '-'), role, id, type, intent, subjects FROM profiles WHERE len(subjects) = 0 AND len(tokens) > 0),
 g AS (SELECT scope, role, list(DISTINCT id ORDER BY id) AS members, list_sort(list_distinct(flatten(list(subjects)))) AS data_subjects, list(DISTINCT intent ORDER BY intent) AS intents, list(DISTINCT type ORDER BY type) AS node_types FROM keyed GROUP BY scope, role HAVING count(DISTINCT id) >= 2),
-clusters AS (SELECT 'semantic_cluster_' || lpad((row_number() OVER (ORDER BY scope, role))::VARCHAR, 3, '0') AS id, *, round(least(0.5::DOUBLE + CASE WHEN len(data_subjects) > 0 THEN 0.25 ELSE 0 END + CASE WHEN len(node_types) = 1 OR len(intents) <= 2 THEN 0.15 ELSE 0 END + 0.1, 0.95), 2)::DOUBLE AS confidence,
+clusters AS (SELECT 'semantic_cluster_' || lpad((row_number() OVER (ORDER BY scope, role))::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY scope, role))::VARCHAR))::INT, '0') AS id, *, round(least(0.5::DOUBLE + CASE WHEN len(data_subjects) > 0 THEN 0.25 ELSE 0 END + CASE WHEN len(node_types) = 1 OR len(intents) <= 2 THEN 0.15 ELSE 0 END + 0.1, 0.95), 2)::DOUBLE AS confidence,
   CASE role WHEN 'crud_interface' THEN 'Crud Interface' WHEN 'data_transform' THEN 'Data Transform' WHEN 'data_model' THEN 'Data Model' WHEN 'data_service' THEN 'Data Service' WHEN 'frontend_surface' THEN 'Frontend Surface' WHEN 'data_workflow' THEN 'Data Workflow' ELSE 'Supporting Logic' END
   || ' around ' || CASE WHEN len(data_subjects) > 0 THEN array_to_string(data_subjects, ', ') ELSE scope END || ' (' || array_to_string(intents, ', ') || ')' AS summary FROM g)"""
 _CSV = ", ".join(f"array_to_string({c}, ',') AS {c}" for c in ("members", "data_subjects", "intents", "node_types"))
@@ -268,10 +268,22 @@ ORACLES["template_deps"] = "WITH " + _TPL + " " + " UNION ALL ".join(
 )
 ORACLES["template_mass"] = f"""WITH {_TPL} SELECT rel_path, round(least(2.0, 0.3::DOUBLE + len(regexp_extract_all(content, '\\{{\\{{\\s*[\\w.]+\\s*\\}}\\}}')) * 0.05 + len(regexp_extract_all(content, '\\{{%\\s*[^%]+\\s*%\\}}')) * 0.1 + len(regexp_extract_all(content, 'function\\s+\\w+')) * 0.15), 2)::DOUBLE AS mass FROM t"""
 ORACLES["template_nodes"] = f"WITH {_TPL} SELECT 'template:' || rel_path AS id, regexp_extract(rel_path, '[^/]*$', 0) AS name, 'FRONTEND' AS type, 1 AS line_start, 1 AS line_end FROM t"
-ORACLES["physics_metrics"] = """WITH p AS (SELECT p_partkey, p_size::DOUBLE AS loc, (p_partkey % 9 + 1)::DOUBLE AS cc, (p_partkey % 13)::DOUBLE AS calls, (p_partkey % 5)::DOUBLE AS fields, (p_partkey % 3)::DOUBLE AS rels, CASE WHEN p_partkey % 2 = 0 THEN 'PARTICLE' ELSE 'TRANSFORM' END AS type FROM part)
-SELECT p_partkey, type, round(round(least(2.0, greatest(0.1, 0.2::DOUBLE + least(loc, 200) / 100 + (cc - 1) * 0.12::DOUBLE + calls * 0.03::DOUBLE + CASE WHEN type = 'PARTICLE' THEN fields * 0.08::DOUBLE + rels * 0.16::DOUBLE ELSE fields * 0.05::DOUBLE END)), 2), 1)::DOUBLE AS mass,
-  round(round(least(1.5, 0.35::DOUBLE + least(calls, 20) * 0.04::DOUBLE + least(cc, 15) * 0.025::DOUBLE), 2), 1)::DOUBLE AS energy, round(least(1.0, 0.25::DOUBLE + least(calls + rels, 15) * 0.04::DOUBLE), 2)::DOUBLE AS coupling,
-  CASE WHEN type = 'PARTICLE' THEN round(least(1.25, 1.0::DOUBLE + rels * 0.05::DOUBLE), 2) ELSE 1.0 END::DOUBLE AS charge FROM p"""
+
+
+def _half_up(x: str, places: int = 2) -> str:
+    """Rounded as decimal digits are written, halves up."""
+    return f"round(({x})::VARCHAR::DECIMAL(38, 20), {places})::DOUBLE"
+
+
+def _mass(kind: str) -> str:
+    extra = f"CASE {kind} WHEN 'PARTICLE' THEN fields * 0.08::DOUBLE + rels * 0.16::DOUBLE WHEN 'TRANSFORM' THEN fields * 0.05::DOUBLE ELSE 0 END"
+    return _half_up(f"least(2.0::DOUBLE, greatest(0.1::DOUBLE, (0.2::DOUBLE + least(loc, 200)::DOUBLE / 100 + (cc - 1) * 0.12::DOUBLE + calls * 0.03::DOUBLE) + {extra}))")
+
+
+ORACLES["physics_metrics"] = f"""WITH p AS (SELECT p_partkey, p_size::DOUBLE AS loc, (p_partkey % 9 + 1)::DOUBLE AS cc, (p_partkey % 13)::DOUBLE AS calls, (p_partkey % 5)::DOUBLE AS fields, (p_partkey % 3)::DOUBLE AS rels, CASE WHEN p_partkey % 2 = 0 THEN 'PARTICLE' ELSE 'TRANSFORM' END AS type FROM part)
+SELECT p_partkey, type, {_mass('type')} AS mass,
+  {_half_up('least(1.5::DOUBLE, 0.35::DOUBLE + least(calls, 20) * 0.04::DOUBLE + least(cc, 15) * 0.025::DOUBLE)')} AS energy, {_half_up('least(1.0::DOUBLE, 0.25::DOUBLE + least(calls + rels, 15) * 0.04::DOUBLE)')} AS coupling,
+  CASE WHEN type = 'PARTICLE' THEN {_half_up('least(1.25::DOUBLE, 1.0::DOUBLE + rels * 0.05::DOUBLE)')} ELSE 1.0 END::DOUBLE AS charge FROM p"""
 ORACLES["fallback_metrics"] = """SELECT p_partkey, round(least(2.0, 0.5::DOUBLE + ((p_size % 9) + 1) * 0.1::DOUBLE + (p_size % 9) * 0.2::DOUBLE), 2)::DOUBLE AS model_mass,
   round(least(2.0, least(((p_size % 9) + 1) / 100, 2.0) + CASE WHEN p_partkey % 2 = 0 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END), 2)::DOUBLE AS view_mass FROM part"""
 ORACLES["suggestions"] = f"""WITH {_GRAPH} SELECT id, 'warning' AS level, 'High complexity: ' || id AS message FROM nodes WHERE type = 'VERTEX' AND mass > 1.5
@@ -287,4 +299,61 @@ SELECT p_partkey, name, CASE WHEN k IN (3, 4) THEN 'PARTICLE' WHEN k = 1 THEN 'V
 ORACLES["module_names"] = f"""WITH nodes AS ({_N}) SELECT DISTINCT file, regexp_replace(replace(regexp_replace(file, '\\.[^./]+$', ''), '/', '.'), '\\.__init__$', '') AS module, file AS rel FROM nodes"""
 ORACLES["relative_imports"] = """WITH n AS (SELECT n_nationkey, n_nationkey % 7 AS level, ['a', 'b' || n_regionkey, 'c', 'm' || n_nationkey] AS parts, CASE WHEN n_nationkey % 2 = 0 THEN 'x.y' ELSE '' END AS i FROM nation)
 SELECT n_nationkey, CASE WHEN level = 0 THEN i ELSE array_to_string(list_concat(parts[1:greatest(0, 4 - level)], CASE WHEN i <> '' THEN [i] ELSE [] END), '.') END AS target FROM n"""
+ORACLES["rule_match_decorators"] = """WITH p AS (SELECT p_partkey, p_partkey % 3 = 0 AS is_class, ['app.route(''/'')', 'bp.route(''/x'')', 'router.get(''/'')', 'table', 'APIRouter()', 'cached', 'app.get', 'tableless'][1 + p_partkey % 8] AS mark FROM part)
+SELECT p_partkey, CASE WHEN NOT is_class AND (starts_with(mark, 'app.route') OR starts_with(mark, 'bp.route')) THEN 'VERTEX' ELSE 'MEDIATOR' END AS flask,
+  CASE WHEN is_class AND starts_with(mark, 'table') THEN 'PARTICLE' WHEN is_class AND starts_with(mark, 'APIRouter') THEN 'VERTEX' WHEN NOT is_class AND (starts_with(mark, 'app.') OR starts_with(mark, 'router.')) THEN 'VERTEX' ELSE 'MEDIATOR' END AS fastapi FROM p"""
+
+# What the project of each supplier holds, by the rules: {n} is its model, {k} its number.
+_SHOP = "shop AS (SELECT s_suppkey::VARCHAR AS k, 'Item' || s_suppkey AS n FROM supplier)"
+_DEFS = """defs(module, kind, tail, first, last, bases, type, loc, cc, branches, calls, assigned, returned, raised, handlers, fields, rels) AS (VALUES
+  ('models', 'class', '{n}', 4, 14, 'models.Model', 'PARTICLE', 11, 1, 0, 2, 2, 0, 0, 0, 2, 1),
+  ('models', 'method', '{n}.save', 8, 10, '', 'MEDIATOR', 3, 1, 0, 2, 0, 1, 0, 0, 0, 0),
+  ('models', 'method', '{n}.check', 12, 14, '', 'MEDIATOR', 3, 2, 1, 1, 0, 0, 1, 0, 0, 0),
+  ('models', 'function', 'helper', 17, 18, '', 'MEDIATOR', 2, 2, 1, 0, 0, 1, 0, 0, 0, 0),
+  ('views', 'class', '{n}ListView', 5, 13, '', 'VERTEX', 9, 1, 0, 0, 2, 0, 0, 0, 2, 0),
+  ('views', 'method', '{n}ListView.get', 9, 13, '', 'MEDIATOR', 5, 1, 0, 4, 1, 1, 0, 0, 0, 0),
+  ('views', 'function', 'home', 16, 17, '', 'VERTEX', 2, 1, 0, 2, 0, 1, 0, 0, 0, 0),
+  ('services', 'function', 'run', 4, 10, '', 'MEDIATOR', 7, 4, 2, 1, 1, 1, 0, 1, 0, 0),
+  ('services', 'function', 'broken_{k}', 13, 14, '', 'MEDIATOR', 2, 1, 0, 1, 0, 0, 0, 0, 0, 0),
+  ('routes', 'function', 'show_{k}', 8, 9, '', 'MEDIATOR', 2, 1, 0, 0, 0, 1, 0, 0, 0, 0),
+  ('routes', 'class', 'Row{k}', 13, 14, '', 'MEDIATOR', 2, 1, 0, 0, 0, 0, 0, 0, 0, 0))"""
+_CALLS = """calls(source, target, resolution, confidence, line) AS (VALUES
+  ('models.{n}.save', 'models.{n}.check', 'self_method', 1.0, 9), ('models.{n}.save', 'models.helper', 'name', 0.95, 10), ('services.run', 'models.{n}.check', 'local_instance', 0.9, 6),
+  ('views.{n}ListView.get', 'models.{n}', 'name', 0.95, 10), ('views.{n}ListView.get', 'models.{n}.save', 'local_instance', 0.9, 11), ('views.{n}ListView.get', 'services.run', 'qualified_import', 0.98, 12),
+  ('views.home', 'models.{n}.save', 'constructed_instance', 0.95, 17), ('views.home', 'models.{n}', 'name', 0.95, 17))"""
+
+
+def _fill(c: str) -> str:
+    return f"replace(replace({c}, '{{n}}', n), '{{k}}', k)"
+
+
+def _py(c: str) -> str:
+    return f"'python:shop.p' || k || '.' || {_fill(c)}"
+
+
+_TAIL = "module || '.' || tail"
+ORACLES["py_extract"] = f"WITH {_SHOP}, {_DEFS} SELECT {_py(_TAIL)} AS id, kind, 'shop.p' || k || '.' || {_fill(_TAIL)} AS qualified, first AS line_start, last AS line_end, bases FROM shop, defs"
+ORACLES["component_metrics"] = f"""WITH {_SHOP}, {_DEFS} SELECT {_py(_TAIL)} AS id, loc, cc AS cyclomatic_complexity, branches AS branch_count, calls AS call_count, assigned AS assignment_count, returned AS return_count,
+  raised AS raise_count, handlers AS exception_handler_count, fields AS field_count, rels AS relationship_count FROM shop, defs"""
+ORACLES["call_resolution"] = f"WITH {_SHOP}, {_CALLS} SELECT {_py('source')} AS source, {_py('target')} AS target, resolution, confidence::DOUBLE AS confidence, line FROM shop, calls"
+ORACLES["framework_detect"] = f"""WITH n AS (SELECT count(*) AS c, 10.0::DOUBLE * count(*) AS fastapi, 5.0::DOUBLE * count(*) AS django FROM supplier)
+SELECT 'fastapi' AS framework, {_half_up('least(1.0::DOUBLE, fastapi / 10) * 0.65::DOUBLE + (fastapi - django) / greatest(fastapi, 1) * 0.35::DOUBLE')} AS confidence, (3 * c)::INT AS evidence_count, django AS django_score FROM n"""
+_PAGE = "'shop/p' || k || '/page.html'"
+ORACLES["project_nodes"] = f"""WITH {_SHOP}, {_DEFS}
+SELECT {_py(_TAIL)} AS id, split_part({_fill('tail')}, '.', -1) AS name, 'shop.p' || k || '.' || {_fill(_TAIL)} AS qualified_name, type, 'python' AS language, first AS line_start, last AS line_end, {_mass('type')} AS mass FROM shop, defs
+UNION ALL SELECT 'ajax:/api/' || k, '/api/' || k, '/api/' || k, 'AJAX', NULL, NULL, NULL, 1.0 FROM shop
+UNION ALL SELECT 'javascript:' || {_PAGE} || '::show' || k, 'show' || k, {_PAGE} || '::show' || k, 'JAVASCRIPT', 'javascript', NULL, NULL, 0.3 FROM shop
+UNION ALL SELECT 'template-symbol:' || {_PAGE} || '::' || lower(n), lower(n), {_PAGE} || '::' || lower(n), 'OBSERVATION', 'template', NULL, NULL, 1.0 FROM shop
+UNION ALL SELECT 'template:' || {_PAGE}, 'page.html', {_PAGE}, 'FRONTEND', 'template', 1, 1, 0.5 FROM shop
+UNION ALL SELECT 'unresolved:transform:Missing', 'Missing', 'Missing', 'TRANSFORM', 'python', NULL, NULL, NULL FROM (SELECT 1 FROM shop LIMIT 1)"""
+ORACLES["project_edges"] = f"""WITH {_SHOP}, {_CALLS}, {_DEFS}, edges AS (
+SELECT {_py('source')} AS source, {_py('target')} AS target, 'CALL' AS type, confidence::DOUBLE AS confidence, resolution FROM shop, calls
+UNION ALL SELECT {_py("module || '.' || split_part(tail, '.', 1)")}, {_py(_TAIL)}, 'CONTAINS', NULL, NULL FROM shop, defs WHERE kind = 'method'
+UNION ALL SELECT {_py("'views.{n}ListView'")}, {_py("'models.{n}'")}, 'PARTICLE_ENTANGLEMENT', NULL, NULL FROM shop
+UNION ALL SELECT {_py("'views.{n}ListView'")}, 'unresolved:transform:Missing', 'SERIALIZER_ENTANGLEMENT', NULL, NULL FROM shop
+UNION ALL SELECT {_py("'views.{n}ListView.get'")}, {_py("'models.{n}'")}, 'PARTICLE_ENTANGLEMENT', NULL, NULL FROM shop
+UNION ALL SELECT 'template:' || {_PAGE}, 'ajax:/api/' || k, 'AJAX', NULL, NULL FROM shop
+UNION ALL SELECT 'template:' || {_PAGE}, 'javascript:' || {_PAGE} || '::show' || k, 'EVENT', NULL, NULL FROM shop
+UNION ALL SELECT 'template:' || {_PAGE}, 'template-symbol:' || {_PAGE} || '::' || lower(n), 'OBSERVATION', NULL, NULL FROM shop)
+SELECT {_ID} AS id, source, target, type, confidence, resolution FROM edges"""
 assert set(EDGE_TYPES) >= set(DEPENDENCY_EDGES)

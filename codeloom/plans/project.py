@@ -31,8 +31,8 @@ class Project:
         out = None
         for kind, interaction in (("VERTEX", "backend"), ("FRONTEND", "frontend")):
             roots = self.nodes.where(F.col("type") == kind).select(F.col("id").alias("root"))
-            paths = trace.number_paths(traverse.enumerate_paths(self.nodes, self.edges, roots, depth))
-            part = trace.ledger(trace.render_paths(paths, self.nodes, interaction))
+            paths = trace.number_paths(traverse.enumerate_paths(self.nodes, self.edges, roots, depth, with_facts=True))
+            part = trace.ledger(trace.render_paths(paths, interaction))
             out = part if out is None else out.unionByName(part)
         return out
 

@@ -147,9 +147,9 @@ def subgraph_reduction(spark, d):
     return one.select("nodes", "edges", F.when(F.col("total") > 0, F.round((1 - F.col("nodes") / F.col("total")) * 100, 4)).alias("reduction"))
 
 
-def _paths(spark, d, depth=4):
+def _paths(spark, d, depth=4, with_facts=False):
     nodes, edges = _graph(spark, d)
-    return trace.number_paths(traverse.enumerate_paths(nodes, edges, _roots(nodes), depth)), nodes
+    return trace.number_paths(traverse.enumerate_paths(nodes, edges, _roots(nodes), depth, with_facts=with_facts)), nodes
 
 
 def _nation_paths(spark, d):
@@ -204,20 +204,20 @@ def flat_ledger(spark, d):
 
 @query
 def notation_strings(spark, d):
-    paths, nodes = _paths(spark, d)
-    return trace.render_paths(paths, nodes).select("root", "path_id", "notation", "legacy_notation", "truncated")
+    paths, _ = _paths(spark, d, with_facts=True)
+    return trace.render_paths(paths).select("root", "path_id", "notation", "legacy_notation", "truncated")
 
 
 @query
 def branch_ledger(spark, d):
-    paths, nodes = _paths(spark, d)
-    return trace.ledger(trace.render_paths(paths, nodes, "frontend")).select("root", "legacy", "path_count")
+    paths, _ = _paths(spark, d, with_facts=True)
+    return trace.ledger(trace.render_paths(paths, "frontend")).select("root", "legacy", "path_count")
 
 
 @query
 def diagram_categories(spark, d):
-    paths, nodes = _paths(spark, d)
-    shown = trace.render_paths(paths, nodes).withColumn("diagram", notation.diagram(F.col("trace")))
+    paths, _ = _paths(spark, d, with_facts=True)
+    shown = trace.render_paths(paths).withColumn("diagram", notation.diagram(F.col("trace")))
     return shown.select("root", "path_id", *[F.size(f"diagram.{c}").alias(c) for c in ("vertices", "propagators", "particles", "interactions")])
 
 
@@ -279,7 +279,7 @@ def changed_seeds(spark, d):
 
 
 def _impact(spark, d):
-    nodes, edges = _graph(spark, d)
+    nodes, edges = (materialize(x, "graph") for x in _graph(spark, d))
     changes = materialize(_changes(spark, d), "changes")
     seeds = materialize(impact.seeds(nodes, changes), "seeds")
     return nodes, edges, changes, seeds, traverse.impact_paths(edges, seeds)
@@ -432,7 +432,7 @@ def physics_metrics(spark, d):
     )
     c = F.col
     return p.select(
-        "p_partkey", "type", F.round(scores.mass(c("loc"), c("cc"), c("calls"), c("fields"), c("rels"), c("type")), 1).alias("mass"), F.round(scores.energy(c("calls"), c("cc")), 1).alias("energy"),
+        "p_partkey", "type", scores.mass(c("loc"), c("cc"), c("calls"), c("fields"), c("rels"), c("type")).alias("mass"), scores.energy(c("calls"), c("cc")).alias("energy"),
         scores.coupling(c("calls"), c("rels")).alias("coupling"), scores.charge(c("rels"), c("type")).alias("charge"),
     )
 
@@ -503,16 +503,26 @@ def relative_imports(spark, d):
 
 
 def source_files(spark: SparkSession, d: str) -> DataFrame:
-    """A small project per nation, written out from the tables: models, services, views and tests that use each other."""
-    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("k"), F.initcap(F.replace("n_name", F.lit("_"), F.lit(""))).alias("name"))
+    """A small project per supplier, written out from the table: models, services, views, routes and a page that use each other."""
+    n = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"), F.concat(F.lit("Item"), "s_suppkey").alias("name"))
     models = F.concat(F.lit("from django.db import models\n\n\nclass "), "name", F.lit("(models.Model):\n    title = models.CharField()\n    owner = models.ForeignKey('x')\n\n    def save(self):\n        self.check()\n        return helper(self)\n\n    def check(self):\n        if self.title:\n            raise ValueError()\n\n\ndef helper(x):\n    return [y for y in x]\n"))
     views = F.concat(F.lit("from .models import "), "name", F.lit("\nimport shop.p"), "k", F.lit(".services as s\n\n\nclass "), "name", F.lit("ListView:\n    model = "), "name", F.lit("\n    serializer_class = Missing\n\n    def get(self, request):\n        item = "), "name", F.lit("()\n        item.save()\n        s.run(item)\n        return "), "name", F.lit(".objects.all()\n\n\ndef home(request):\n    return "), "name", F.lit("().save()\n"))
     services = F.concat(F.lit("from shop.p"), "k", F.lit(".models import "), "name", F.lit(" as M\n\n\ndef run(item: M):\n    try:\n        item.check()\n    except ValueError:\n        return None\n    while item:\n        item = None\n\n\ndef broken_"), "k", F.lit("():\n    unknown()\n"))
+    routes = F.concat(F.lit("from fastapi import APIRouter\n\nrouter = APIRouter()\n\n\n@router.get('/"), "k", F.lit("')\n@cached\ndef show_"), "k", F.lit("(item: int):\n    return item\n\n\n@table\nclass Row"), "k", F.lit(":\n    pass\n"))
     page = F.concat(F.lit("<p>{{ "), F.lower("name"), F.lit(".title }}</p><script>function show"), "k", F.lit("() { fetch('/api/"), "k", F.lit("'); }</script>\n"))
-    files = F.array(*[F.struct(F.concat(F.lit("shop/p"), "k", F.lit(f"/{f}")).alias("rel_path"), text.alias("content")) for f, text in (("models.py", models), ("views.py", views), ("services.py", services), ("__init__.py", F.lit("")), ("bad.py", F.lit("def (:\n")), ("page.html", page))])
+    files = F.array(*[F.struct(F.concat(F.lit("shop/p"), "k", F.lit(f"/{f}")).alias("rel_path"), text.alias("content")) for f, text in (("models.py", models), ("views.py", views), ("services.py", services), ("routes.py", routes), ("__init__.py", F.lit("")), ("bad.py", F.lit("def (:\n")), ("page.html", page))])
     return n.select(F.explode(files).alias("f")).select("f.*", F.col("f.rel_path").alias("path"))
 
 
+@query
+def rule_match_decorators(spark, d):
+    """Types by decorator, of every part as a class or function under two frameworks."""
+    p = spark.read.parquet(f"{d}/part.parquet").withColumn("k", F.col("p_partkey") % 8)
+    mark = F.element_at(F.array(*[F.lit(x) for x in ("app.route('/')", "bp.route('/x')", "router.get('/')", "table", "APIRouter()", "cached", "app.get", "tableless")]), (F.col("k") + 1).cast("int"))
+    kinds = [frameworks.node_type(frameworks.get(f), F.lit("shown"), F.array().cast("array<string>"), F.array(mark), F.col("p_partkey") % 3 == 0).alias(f) for f in ("flask", "fastapi")]
+    return p.select("p_partkey", *kinds)
+
+
 def _facts(spark, d):
     return materialize(pyast.python_facts(source_files(spark, d)), "facts")
 

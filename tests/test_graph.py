@@ -188,7 +188,7 @@ def test_notation_and_flat_trace(spark):
     roots = spark.createDataFrame([("v",)], "root string")
     visits = trace.trace_flat(nodes, edges, roots)
     assert [r.node for r in visits.orderBy("pos").collect()] == ["v", "s", "m", "nowhere"]
-    shown = trace.render_paths(trace.number_paths(traverse.enumerate_paths(nodes, edges, roots)), nodes).orderBy("path_no").collect()
+    shown = trace.render_paths(trace.number_paths(traverse.enumerate_paths(nodes, edges, roots, with_facts=True))).orderBy("path_no").collect()
     assert [r.legacy_notation for r in shown] == ["g[URL] -> V[v] -> ⊗[s]", "g[URL] -> V[v] -> ψ[m] -> em[nowhere]"]
 
 
