@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import materialize
-from .components import connected_components
 from .tokens import chunks, hash_words, mix, shingles
 
 #: Members of a bucket that are compared with each other, or with another block, in one go.

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, global_prefix, materialize, shuffle_partitions
 
-#: Parts of a source's shuffled order that are summed and then run on their own, so that a hot source is split.
-SLICES = 1 << 12
-
-
 def count_words(text: Column) -> Column:
     """Runs of characters that are not ASCII white space; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
@@ -64,19 +60,21 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: t
     The text is read once; what is kept of it is its number of words.
 
     Null source: a source of its own, the last. Null or empty text: size 0,
-    nothing taken. Rows that share an id (or a null one) are documents of their own,
-    ordered by size; equal rows are interchangeable. No documents: no rows. Other columns are ignored.
+    nothing taken. Rows that share an id are documents of their own,
+    ordered by size, and rows without one are placed by their text; equal rows are interchangeable. No documents: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     n_ranges = n_ranges or shuffle_partitions(spark)
-    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    # a row without an id is placed by its text
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\0"), F.xxhash64(text_col).cast("string")))
+    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), key))
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), shuffled.alias("turn"))
     sized = materialize(sized, "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, max_repeats=max_repeats, n_ranges=min(n_ranges, 16))
     targets = materialize(targets, "mix-targets")
     slice_of = F.substring("turn", 1, 3)  # 12 bits
     sums = sized.groupBy("source", slice_of.alias("slice")).agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows at most
+    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows a source at most
     sums = sums.select("source", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("source", "slice").orderBy("turn", "size").rowsBetween(Window.unboundedPreceding, 0)
     run = sized.withColumn("slice", slice_of).withColumns({"upto": F.sum("size").over(within), "nth": F.row_number().over(within)})

@@ -16,7 +16,8 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from codeloom.llm import common, components, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, mixing, quality, substring_dedup, tokens, url_filter, warc, zip_archive
+from codeloom.llm import common, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, mixing, quality, substring_dedup, tokens, url_filter, warc, zip_archive
+from codeloom.operators import components, ranges
 
 DOC = "doc_id long, text string, lang string, source string"
 
@@ -91,7 +92,7 @@ def test_line_dedup(spark):
 
 @pytest.mark.parametrize("most", [512, 2])
 def test_range_buckets_and_running_totals(spark, monkeypatch, most):
-    monkeypatch.setattr(common, "_MOST_CASES", most)
+    monkeypatch.setattr(ranges, "_MOST_CASES", most)
     bounds = [(3, "b"), (3, "d"), (7, "")]
     df = spark.createDataFrame([(i, c) for i in range(10) for c in "abcde"], "i int, c string")
     for r in df.select("i", "c", common.range_bucket([F.col("i"), F.col("c")], bounds).alias("b")).collect():
