@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, global_prefix, materialize, shuffle_partitions
 
+
 def count_words(text: Column) -> Column:
     """Runs of characters that are not ASCII white space; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")

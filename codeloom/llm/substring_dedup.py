@@ -20,6 +20,9 @@ BANDS = 3
 BLOCK = 4096
 #: Pairs of equal n-grams of two stretches that are held at once.
 _SLICE = 1 << 20
+#: Runs of two stretches that are chained all together; of more, those of one band of shifts after the other.
+MANY_RUNS = 256
+_BAND = 32
 #: Bits of a packed value that hold a position; more for longer texts.
 _AT_BITS = 26
 
@@ -261,59 +264,125 @@ def matching_passages(own: np.ndarray, other: np.ndarray, n: int, least: int, th
     ``threshold`` with those of the other side's stretch. Chains whose own words lie within those of a longer one
     that counts are left out, and so are short runs whose own words lie within a run that is a passage by itself, or
     that lie on either side within runs of four times their size.
-    A passage begins and ends with equal words.
+    A passage begins and ends with equal words. Of texts that share very many runs (which repeat themselves), the
+    bands of shifts are gone through until all own words that a passage may hold are covered, with gaps of ``2 * _BAND`` n-grams at most.
 
     With S shared of A and B n-grams, S / (A + B - S) >= t is S (1 - t) - t (A - S) - t (B - S) >= 0: a sum
     over runs and gaps, so the best chain from each run to each other one is found by going through the runs once.
     """
     runs = shared_runs(own, other, n)
+    ends = len(own) - n + 1, len(other) - n + 1
+    if len(runs) <= MANY_RUNS:
+        return _outermost(_chains(_needed_runs(runs, least - n + 1), ends, n, least, threshold))
+    covered, found = np.zeros(ends[0], bool), []
+    for begin, end, held in _dense_bands(runs, least - n + 1, threshold):
+        if not all(covered[a:b].all() for a, b in zip(begin.tolist(), end.tolist(), strict=True)):
+            for passage in _chains(_needed_runs(held, least - n + 1), ends, n, least, threshold, most_gap=2 * _BAND):
+                covered[passage[0] : passage[1] - n + 1] = True
+                found.append(passage)
+    return _outermost(found)
+
+
+def _outermost(found: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+    """Without the passages whose own words lie within a longer one."""
+    out: list[tuple[int, int, int, int, float]] = []
+    for p in sorted(found, key=lambda p: (p[0] - p[1] + p[2] - p[3], p[0], p[2])):
+        if not any(q[0] <= p[0] and p[1] <= q[1] for q in out):
+            out.append(p)
+    return sorted(out)
+
+
+def _shared_places(begin: np.ndarray, size: np.ndarray) -> tuple[int, np.ndarray]:
+    """The first place of the runs, and which places from there to the last one lie in a run."""
+    first, n = int(begin.min()), int((begin + size).max() - begin.min())
+    edge = np.bincount(begin - first, minlength=n + 1) - np.bincount(begin + size - first, minlength=n + 1)
+    return first, np.cumsum(edge)[:-1] > 0
+
+
+def _dense_bands(runs: np.ndarray, width: int, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches (begin, end) of the own side where some passage may lie whose runs have shifts within a band, and those runs; the band with most first.
+
+    Half of a passage is one too, unless it gets too short: a passage of many n-grams holds one of fewer than about
+    twice ``width``, whose gaps, a quarter of what is shared at most, keep its shifts within a band. Bands overlap by half. In a
+    passage the share ``threshold`` of the own side's n-grams is shared, so the sum of 1 - t for each in a run of the band and -t for each other is 0 or more.
+    """
+    key = (runs[:, 0] - runs[:, 1]) // _BAND
+    order = np.argsort(key, kind="stable")
+    runs, key = runs[order], key[order]
+    out = []
+    for k in np.unique(np.concatenate((key, key - 1))).tolist():
+        held = runs[np.searchsorted(key, k) : np.searchsorted(key, k + 1, "right")]
+        (first, shared), (_, of_other) = (_shared_places(held[:, side], held[:, 2]) for side in (0, 1))
+        if most_gain(shared, width, threshold) + most_gain(of_other, width, threshold) < -1e-9:
+            continue
+        total = np.concatenate(([0.0], np.cumsum(np.where(shared, 1 - threshold, -threshold))))
+        most = np.maximum.accumulate(total[::-1])  # of what follows, by distance from the end
+        farthest = len(total) - 1 - np.searchsorted(most, total - 1e-9)
+        begin = np.flatnonzero(farthest - np.arange(len(total)) >= width)
+        if not len(begin):
+            continue
+        end = np.maximum.accumulate(farthest[begin])
+        cut = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1])))
+        begin, end = begin[cut] + first, end[np.append(cut[1:] - 1, len(begin) - 1)] + first
+        at = np.searchsorted(begin, held[:, 0] + held[:, 2] - 1, "right") - 1
+        out.append((begin, end, held[(at >= 0) & (held[:, 0] < end[np.maximum(at, 0)])]))
+    return sorted(out, key=lambda x: -int((x[1] - x[0]).sum()))
+
+
+def _chains(runs: np.ndarray, ends: tuple[int, int], n: int, least: int, threshold: float, most_gap: int | None = None) -> list[tuple[int, int, int, int, float]]:
+    """From each run the chain that reaches farthest, of those that are passages; with ``most_gap`` no gap is wider, and starts that a passage covers are passed over."""
     if not len(runs):
         return []
-    runs = _needed_runs(runs, least - n + 1)
     runs = runs[np.lexsort((runs[:, 0], np.abs(runs[:, 0] - runs[:, 1]), -runs[:, 2]))]
     kept: list[tuple[int, int, int]] = []
     for a, b, size in runs.tolist():  # those within a longer one on both sides go
         if not any(c <= a and d <= b and a + size <= c + more and b + size <= d + more for c, d, more in kept):
             kept.append((a, b, size))
     kept.sort()
-    gain, own_end, other_end = 1 - threshold, len(own) - n + 1, len(other) - n + 1
+    gain, (own_end, other_end), widest = 1 - threshold, ends, max(k[2] for k in kept)
     into: list[list[tuple[int, float]]] = []  # per run, the runs that may come before it in a chain, and what going on to it adds
+    low = 0
     for e, (a, b, size) in enumerate(kept):
         links, between = [], []
-        for p in sorted(range(e), key=lambda p: -kept[p][0] - kept[p][1]):
+        while most_gap is not None and kept[low][0] + widest + most_gap < a:
+            low += 1
+        for p in sorted(range(low, e), key=lambda p: -kept[p][0] - kept[p][1]):
             c, d, long_ = kept[p]
+            gaps = a + b - c - d - 2 * long_
             # too far for all that both sides of the gap could hold
-            if threshold * (a + b - c - d - 2 * long_) > gain * (min(c, d) + long_ + min(own_end - a, other_end - b)):
+            if threshold * gaps > gain * (min(c, d) + long_ + min(own_end - a, other_end - b)) or (most_gap is not None and gaps > most_gap):
                 continue
             over = max(0, c + long_ - a, d + long_ - b)  # n-grams that the run before has taken
             # a run that fits between two others makes the chain through it better than the one past it
             if over < size and c < a and d < b and not any(c + long_ <= x and d + long_ <= y for x, y in between):
-                links.append((p, gain * (size - over) - threshold * (a + b - c - d - 2 * long_ + 2 * over)))
+                links.append((p, gain * (size - over) - threshold * (gaps + 2 * over)))
                 if not over and len(between) < 8:
                     between.append((c, d))
         into.append(links)
-    found = []
-    for s, (a, b, size) in enumerate(kept):  # from each run, the chain that reaches farthest
+    found, reached = [], -1
+    for s, (a, b, size) in enumerate(kept):
+        if most_gap is not None and a < reached - 2 * least:
+            continue
         total = {s: gain * size}
-        farthest = None
+        farthest, newest = None, s
         for e in range(s, len(kept)):
             if e > s:
+                if most_gap is not None and kept[e][0] > kept[newest][0] + widest + most_gap:
+                    break
                 best = max((total[p] + more for p, more in into[e] if p in total), default=None)
                 if best is None or best + gain * min(own_end - kept[e][0] - kept[e][2], other_end - kept[e][1] - kept[e][2]) < -1e-9:
                     continue  # not reached, or too low for what is left to make up for
-                total[e] = best
+                total[e], newest = best, e
             c, d = kept[e][0] + kept[e][2], kept[e][1] + kept[e][2]
             if total[e] >= -1e-9 and min(c - a, d - b) + n - 1 >= least and (farthest is None or (c, d) > farthest[:2]):
                 farthest = (c, d, total[e])
         if farthest:
-            found.append((a, b, *farthest))
-    out: list[tuple[int, int, int, int, float]] = []
-    for a, b, c, d, sum_ in sorted(found, key=lambda x: (x[0] + x[1] - x[2] - x[3], x[0], x[1])):
-        if not any(x <= a and c + n - 1 <= y for x, y, *_ in out):
+            c, d, sum_ = farthest
             both = c - a + d - b
             shared = round((sum_ + threshold * both) / (1 + threshold))
-            out.append((a, c + n - 1, b, d + n - 1, shared / (both - shared)))
-    return sorted(out)
+            found.append((a, c + n - 1, b, d + n - 1, shared / (both - shared)))
+            reached = max(reached, c)
+    return found
 
 
 def most_gain(shared: np.ndarray, width: int, threshold: float, x: int | None = None) -> float:

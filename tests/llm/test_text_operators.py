@@ -445,6 +445,52 @@ def test_passages_chain_over_any_gap(length, cut, resume, edit, similarity):
     assert got == ([(0, length, 20, 20 + cut + edit + length - resume, pytest.approx(similarity))] if similarity else [])
 
 
+def test_many_runs_cover_what_few_find(monkeypatch):
+    """Texts of lines that vary by a word, periodic ones and noise: the bands find a passage wherever the whole search does, and each is one."""
+    rng = np.random.default_rng(9)
+
+    def lines(n, of):
+        fixed = rng.integers(0, 60_000, of)
+        return lambda: np.concatenate([np.append(fixed, rng.integers(0, 60_000)) for _ in range(n)]).astype(np.uint16)
+
+    pairs = [(f(), f()) for f in (lines(20, 12), lines(12, 22), lines(8, 42), lines(6, 60))]
+    base = rng.integers(0, 60_000, 400).astype(np.uint16)
+    for k in (3, 8, 20):
+        edited = base.copy()
+        edited[rng.integers(0, 400, k)] = 1
+        pairs.append((base, np.delete(edited, rng.integers(0, 400, 3))))
+    pairs.append((np.tile(np.arange(7), 60).astype(np.uint16), np.ones(90, np.uint16)))
+    for own, other in pairs:
+        whole = substring_dedup.matching_passages(own, other, 5, 50, 0.8)
+        monkeypatch.setattr(substring_dedup, "MANY_RUNS", 0)
+        parts = substring_dedup.matching_passages(own, other, 5, 50, 0.8)
+        monkeypatch.undo()
+        assert bool(whole) == bool(parts)
+        for a, b, c, d, similarity in parts:
+            assert b - a >= 50 and similarity >= 0.8 and any(p[0] <= a and b <= p[1] for p in whole)
+
+
+def test_passages_by_brute_force(spark):
+    """Edited passages of known similarity in random surroundings: nine tenths of those at 0.8 or more are found, and nothing else."""
+    rng, texts, truth = random.Random(44), {}, {}
+    for case in range(60):
+        passage = words(rng.randrange(52, 130), 3000 + case, 10**6)
+        edited = passage[:]
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(1, len(edited) - 1)
+            edited[k : k + rng.randrange(2)] = words(rng.randrange(1, 3), 4000 + rng.randrange(10**6), 10**6)
+        around = lambda k: words(rng.randrange(60, 90), 100_000 + 10 * case + k, 10**6)  # noqa: B023, E731
+        texts[2 * case], texts[2 * case + 1] = " ".join(around(0) + passage + around(1)), " ".join(around(2) + edited + around(3))
+        truth[2 * case + 1, 2 * case] = jaccard(" ".join(passage), " ".join(edited))
+    got = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    found = {(r.doc_id, r.source_doc_id) for r in got}
+    near = {p for p, similarity in truth.items() if similarity >= 0.8}
+    assert len(near) > 30 and found <= set(truth) and len(found & near) >= 0.9 * len(near)
+    for r in got:
+        a, b = texts[r.doc_id].split()[r.begin : r.end], texts[r.source_doc_id].split()[r.source_begin : r.source_end]
+        assert len(a) >= 50 and jaccard(" ".join(a), " ".join(b)) >= 0.79
+
+
 @pytest.mark.parametrize("block", [4096, 4])
 def test_passages_of_others_than_the_first(spark, monkeypatch, block):
     monkeypatch.setattr(substring_dedup, "BLOCK", block)
