@@ -22,7 +22,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--trace-depth", type=int, default=4)
     p.add_argument("--impact-diff", help="a diff, its file, or - for standard input")
     p.add_argument("--impact-depth", type=int, default=6)
-    p.add_argument("--out", default=".", help="folder of the JSON reports")
+    p.add_argument("--out", default=".", help="folder of the reports")
+    p.add_argument("--format", default="parquet", choices=["parquet", "json"], help="tables as Parquet, or JSON files")
     a = p.parse_args(args)
     if not Path(a.path).is_dir():
         p.error(f"{a.path} is not a folder")
@@ -32,21 +33,31 @@ def main(args: list[str] | None = None) -> int:
     out = Path(a.out)
     out.mkdir(parents=True, exist_ok=True)
     ledgers = part.ledgers(a.trace_depth)
-    sinks.write_graph_json(part.nodes, part.edges, str(out / "graph.json"))
-    sinks.write_ledger_json(ledgers, str(out / "ledger.json"))
-    sinks.write_rows_json(ledgers, str(out / "ledger_enhanced.json"), "root")
-    sinks.write_rows_json(part.clusters(), str(out / "semantic_clusters.json"), "id")
-    classes = part.reachability()
-    sinks.write_rows_json(classes, str(out / "reachability.json"), "id")
+    classes, clusters = part.reachability(), part.clusters()
+    if a.format == "json":
+        sinks.write_graph_json(part.nodes, part.edges, str(out / "graph.json"), findings=part.diagnostics())
+        sinks.write_ledger_json(ledgers, str(out / "ledger.json"))
+        sinks.write_keyed_json(ledgers, str(out / "ledger_enhanced.json"), "root")
+        sinks.write_keyed_json(clusters, str(out / "semantic_clusters.json"), "id")
+        sinks.write_rows_json(classes, str(out / "reachability.json"), "id")
+    else:
+        tables = {"nodes": part.nodes, "edges": part.edges, "findings": part.diagnostics(), "ledgers": ledgers, "semantic_clusters": clusters, "reachability": classes}
+        sinks.write_parquet(tables, str(out))
     unused = [r.id for r in reachability.possibly_unreachable(classes).orderBy("id").toLocalIterator()]
     print(f"framework {part.framework}: {part.nodes.count()} nodes, {part.edges.count()} edges, {ledgers.count()} ledgers, {len(unused)} possibly unreachable")
     for node in unused:
         print(f"  {node}")
     if a.impact_diff:
-        report = part.impact(load_diff(a.impact_diff), str(Path(a.path).resolve()), a.impact_depth)
-        for name in ("changed", "impacted", "quality", "confidence"):
-            sinks.write_rows_json(report[name], str(out / f"impact_{name}.json"), {"changed": "seed", "impacted": "node"}.get(name, report[name].columns[0]))
-        print(f"impact: {report['changed'].count()} changed, {report['impacted'].count()} impacted nodes")
+        diff, root = load_diff(a.impact_diff), str(Path(a.path).resolve())
+        if a.format == "json":
+            report = part.impact_report(diff, root, a.impact_depth)
+            sinks.write_sections_json(report, str(out / "change_impact.json"))
+            changed, hit = report["changed_nodes"][0], report["impacted_nodes"][0]
+        else:
+            report = part.impact(diff, root, a.impact_depth)
+            sinks.write_parquet({f"impact_{name}": df for name, df in report.items()}, str(out))
+            changed, hit = report["changed"], report["impacted"]
+        print(f"impact: {changed.count()} changed, {hit.count()} impacted nodes")
     return 0
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from ..functions.ids import edge_id, major
 from ..functions.scores import unit
@@ -14,56 +15,84 @@ def _blank(c: Column) -> Column:
     return F.nullif(c.cast("string"), F.lit(""))
 
 
-def _with_columns(df: DataFrame, schema) -> DataFrame:
+def _json_map(fields: dict[str, Column]) -> Column:
+    """A map of the fields' JSON values, without nulls."""
+    none = F.create_map().cast("map<string,string>")
+    if not fields:
+        return none
+    values = F.create_map(*[x for name, c in fields.items() for x in (F.lit(name), F.to_json(F.struct(c.alias("v"))))])
+    return F.transform_values(F.map_filter(values, lambda k, v: v != "{}"), lambda k, v: F.substr(v, F.lit(6), F.length(v) - 6))
+
+
+def _as_map(df: DataFrame, column: str) -> Column:
+    """A column of JSON objects, read as structs or maps, as a map of JSON values; anything else as empty."""
+    kind = df.schema[column].dataType
+    none = F.create_map().cast("map<string,string>")
+    if kind.typeName() == "struct":
+        return F.when(F.col(column).isNotNull(), _json_map({k: F.col(column)[k] for k in kind.names})).otherwise(none)
+    return F.coalesce(F.col(column).cast("map<string,string>"), none) if kind.typeName() == "map" else none
+
+
+def _with_columns(df: DataFrame, schema, known: tuple[str, ...] = ()) -> DataFrame:
     """Missing columns of ``schema`` as nulls; extra columns go to ``attributes`` as JSON."""
     have = set(df.columns)
-    core = {f.name for f in schema} | {"source"}
-    spilled = [c for c in df.columns if c not in core]
+    spilled = [c for c in df.columns if c not in {f.name for f in schema} | set(known)]
     for field in schema:
         if field.name not in have:
             df = df.withColumn(field.name, F.lit(None).cast(field.dataType))
     if spilled:
-        extra = F.map_filter(F.create_map(*[x for c in spilled for x in (F.lit(c), F.to_json(F.struct(F.col(c).alias("v"))))]), lambda k, v: v != "{}")
-        own = F.coalesce(F.col("attributes").cast("map<string,string>"), F.create_map().cast("map<string,string>"))
-        extra = F.transform_values(extra, lambda k, v: F.substr(v, F.lit(6), F.length(v) - 6))
+        own = _as_map(df, "attributes")
+        extra = _json_map({c: F.col(c) for c in spilled})
         df = df.withColumn("attributes", F.map_concat(own, F.map_filter(extra, lambda k, v: ~F.map_contains_key(own, k))))
     return df
 
 
 def normalize_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes as in ``NODES``: missing names from the id's last part, types UNKNOWN, file and lines from metadata where the node has none.
+    """Nodes as in ``NODES``: missing names from the id's last part, types UNKNOWN; the file from ``source`` (a struct), the node or its metadata, lines from the node or its metadata.
 
-    Columns that the schema does not know go to ``attributes`` as JSON values. Idempotent.
+    Columns that the schema does not know go to ``attributes`` as JSON values, and such fields of ``metadata`` to ``metadata_extra``. Idempotent.
     """
     df = _with_columns(nodes, NODES)
-    meta = F.col("metadata")
+    kinds = {f.name: f.dataType for f in NODES["metadata"].dataType}
+
+    def inside(column: str, field: str, kind) -> Column:
+        have = df.schema[column].dataType
+        fits = have.typeName() == "struct" and field in have.names and (field != "metrics" or have[field].dataType.typeName() == "struct")
+        return F.col(column)[field].cast(kind) if fits else F.lit(None).cast(kind)
+
     id_ = F.coalesce(F.col("id").cast("string"), F.lit(""))
     last = F.coalesce(_blank(F.element_at(F.split(id_, r"\."), -1)), id_)
     name = F.coalesce(_blank(F.col("name")), last)
-    kinds = {f.name: f.dataType for f in NODES["metadata"].dataType}
-    known = set(df.schema["metadata"].dataType.names)
-    get = lambda c: meta[c].cast(kinds[c]) if c in known else F.lit(None).cast(kinds[c])
-    file = F.coalesce(_blank(F.col("file")), get("file"))
-    begin, end = F.coalesce(F.col("line_start"), get("line_start")), F.coalesce(F.col("line_end"), get("line_end"))
-    filled = [(get(f.name) if f.name not in ("file", "line_start", "line_end") else F.coalesce(get(f.name), {"file": file, "line_start": begin, "line_end": end}[f.name])).alias(f.name) for f in NODES["metadata"].dataType]
+    meta = {k: inside("metadata", k, kind) for k, kind in kinds.items()}
+    file = F.coalesce(_blank(inside("source", "file", "string")), _blank(F.col("file")), meta["file"])
+    begin, end = F.coalesce(F.col("line_start").cast("int"), meta["line_start"]), F.coalesce(F.col("line_end").cast("int"), meta["line_end"])
+    defaults = {"file": file, "line_start": begin, "line_end": end}
+    filled = [F.coalesce(meta[k], defaults.get(k, F.lit(None).cast(kinds[k]))).alias(k) for k in kinds]
+    more = df.schema["metadata"].dataType
+    extra = _json_map({k: F.col("metadata")[k] for k in more.names if k not in kinds} if more.typeName() == "struct" else {})
+    extra = F.map_concat(_as_map(df, "metadata_extra"), extra)
+    place = [F.coalesce(inside("source", k, "int" if k != "file" else "string"), defaults[k]).alias(k) for k in ("file", "line_start", "line_end")]
     return df.select(
         F.col("node_idx").cast("long").alias("node_idx"), id_.alias("id"), name.alias("name"), F.coalesce(_blank(F.col("qualified_name")), name).alias("qualified_name"),
         F.coalesce(_blank(F.col("type")), F.lit("UNKNOWN")).alias("type"), F.col("language").cast("string").alias("language"), file.alias("file"),
-        begin.cast("int").alias("line_start"), end.cast("int").alias("line_end"), F.struct(*filled).alias("metadata"),
-        F.coalesce(F.col("attributes"), F.create_map().cast("map<string,string>")).alias("attributes"),
+        begin.alias("line_start"), end.alias("line_end"), F.struct(*filled).alias("metadata"),
+        _as_map(df, "attributes").alias("attributes"), F.struct(*place).alias("source"), extra.alias("metadata_extra"),
     )
 
 
 def normalize_edges(edges: DataFrame) -> DataFrame:
-    """Edges as in ``EDGES``: confidence in [0, 1] to 4 places (else null), evidence a list, type DEPENDENCY and id by default."""
+    """Edges as in ``EDGES``: a number as confidence in [0, 1] to 4 places (text and all else: null), evidence a list, type DEPENDENCY and id by default."""
     df = _with_columns(edges, EDGES)
     source, target = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "target"))
     kind = F.coalesce(_blank(F.col("type")), F.lit("DEPENDENCY"))
     evidence = F.col("evidence") if df.schema["evidence"].dataType.typeName() == "array" else F.when(F.col("evidence").isNotNull(), F.array(F.col("evidence").cast("string")))
+    number = isinstance(df.schema["confidence"].dataType, (NumericType, BooleanType))
+    confidence = F.round(unit(F.col("confidence").cast("double")), 4) if number else F.lit(None).cast("double")
+    confidence = F.when(F.col("confidence").isNotNull(), confidence)
     return df.select(
         F.col("edge_idx").cast("long").alias("edge_idx"), F.coalesce(_blank(F.col("id")), edge_id(source, target, kind)).alias("id"), source.alias("source"), target.alias("target"), kind.alias("type"),
-        F.when(F.col("confidence").try_cast("double").isNotNull(), F.round(unit(F.col("confidence").try_cast("double")), 4)).alias("confidence"),
-        F.coalesce(evidence, F.array().cast("array<string>")).alias("evidence"), F.coalesce(F.col("attributes"), F.create_map().cast("map<string,string>")).alias("attributes"),
+        confidence.alias("confidence"),
+        F.coalesce(evidence.cast("array<string>"), F.array().cast("array<string>")).alias("evidence"), _as_map(df, "attributes").alias("attributes"),
         F.col("resolution").cast("string").alias("resolution"), F.col("line").cast("int").alias("line"),
     )
 

@@ -73,12 +73,12 @@ def enumerate_paths(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_de
     return reduce(DataFrame.unionByName, [d.select(kept) for d in done])
 
 
-def impact_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, *, weighted: bool = True, least: float = 0.2) -> DataFrame:
+def impact_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, *, weighted: bool = True, least: float = 0.2, by: tuple[str, ...] = ()) -> DataFrame:
     """Every simple path against dependency edges from each seed (columns seed, confidence): seed, node, node_path, edge_path, depth, confidence.
 
     Each hop gives a row. Confidence is multiplied by the edge's and by 0.96 on
     the first hop, 0.92 on later ones, and rounded to 4 places; a path goes on
-    while it is at least ``least``. Unweighted, every path goes on.
+    while it is at least ``least``. Unweighted, every path goes on. ``by`` names columns of the seeds that go along.
     """
     sure = edge_confidence(F.col("confidence"), F.col("type"))
     back = edges.where(F.col("type").isin(*DEPENDENCY_EDGES) & (F.coalesce(F.col("source"), F.lit("")) != "")).select(
@@ -86,13 +86,13 @@ def impact_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, *, weig
     )
     back = materialize(back, "impact-edges")
     kind = back.schema["edge"].dataType.simpleString()
-    state = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.array("seed").alias("node_path"), F.array().cast(f"array<{kind}>").alias("edge_path"), F.lit(0).alias("depth"), F.col("confidence").cast("double").alias("confidence"))
+    state = seeds.select(*by, F.col("seed"), F.col("seed").alias("node"), F.array("seed").alias("node_path"), F.array().cast(f"array<{kind}>").alias("edge_path"), F.lit(0).alias("depth"), F.col("confidence").cast("double").alias("confidence"))
     levels = [state.limit(0)]
     for depth in range(max_depth):
         joined = state.join(back, F.col("node") == F.col("into")).where(~F.array_contains("node_path", F.col("edge.source")))
         next_ = F.round(F.col("confidence") * F.col("edge.confidence") * F.lit(0.96 if depth == 0 else 0.92), 4) if weighted else F.col("confidence")
         level = joined.select(
-            "seed", F.col("edge.source").alias("node"), F.concat("node_path", F.array("edge.source")).alias("node_path"), F.concat("edge_path", F.array("edge")).alias("edge_path"),
+            *by, "seed", F.col("edge.source").alias("node"), F.concat("node_path", F.array("edge.source")).alias("node_path"), F.concat("edge_path", F.array("edge")).alias("edge_path"),
             F.lit(depth + 1).alias("depth"), next_.alias("confidence"),
         )
         level = materialize(level, "impact")

@@ -11,6 +11,7 @@ from ..operators import frameworks, impact, pyast, reachability, resolve, semant
 from ..sources.diff import changed_lines, diff_lines
 from ..sources.tree import read_tree
 from ..storage import materialize
+from ..texts import SENTENCES
 
 
 @dataclass
@@ -46,12 +47,23 @@ class Project:
         return validate.validate(self.nodes, self.edges)
 
     def impact(self, diff: str, root: str = "", depth: int = 6) -> dict[str, DataFrame]:
-        """changed, impacted, quality and confidence tables of a diff."""
+        """changes, changed, impacted, paths, quality and confidence tables of a diff."""
         changes = materialize(changed_lines(diff_lines(self.nodes.sparkSession, diff)), "changes")
         seeds = materialize(impact.seeds(self.nodes, changes, root), "seeds")
-        hit = materialize(impact.impacted(self.nodes, traverse.impact_paths(self.edges, seeds, depth), seeds), "impacted")
-        quality = impact.quality(self.nodes, self.edges, seeds, changes, hit)
-        return {"changes": changes, "changed": seeds, "impacted": hit, "quality": quality, "confidence": impact.report_confidence(seeds, hit, quality)}
+        paths = traverse.impact_paths(self.edges, seeds, depth)
+        hit = materialize(impact.impacted(self.nodes, paths, seeds), "impacted")
+        quality = materialize(impact.quality(self.nodes, self.edges, seeds, changes, hit), "quality")
+        return {"changes": changes, "changed": seeds, "impacted": hit, "paths": impact.describe(paths), "quality": quality, "confidence": impact.report_confidence(seeds, hit, quality)}
+
+    def impact_report(self, diff: str, root: str = "", depth: int = 6) -> dict[str, tuple[DataFrame, str] | object]:
+        """The sections of one report: changed files, changed and impacted nodes, all paths, risk, quality and what the report is."""
+        t = self.impact(diff, root, depth)
+        about = {"purpose": SENTENCES["purpose"], "direction": "reverse_dependencies", "max_depth": depth, "confidence_model": SENTENCES["model"]}
+        paths = t["paths"].withColumn("order", F.struct("node", -F.col("confidence")))
+        return {
+            "changed_files": (t["changes"].drop("diff"), "path"), "changed_nodes": (t["changed"], "seed"), "impacted_nodes": (t["impacted"], "node"), "impact_paths": (paths, "order"),
+            "risk_summary": impact.risk_summary(t["changed"], t["impacted"], t["quality"], depth), "graph_quality": t["quality"].first().asDict(), "metadata": about,
+        }
 
 
 def scan(spark: SparkSession, root: str, framework: str = "auto") -> Project:

@@ -22,11 +22,13 @@ METADATA = T.StructType([
     T.StructField("file", T.StringType()), T.StructField("lines", T.IntegerType()), T.StructField("line_start", T.IntegerType()), T.StructField("line_end", T.IntegerType()),
     T.StructField("metrics", METRICS), T.StructField("metric_scope", T.StringType()),
 ])
+SOURCE = T.StructType([T.StructField("file", T.StringType()), T.StructField("line_start", T.IntegerType()), T.StructField("line_end", T.IntegerType())])
 NODES = T.StructType([
     T.StructField("node_idx", T.LongType()),
     *[T.StructField(n, T.StringType()) for n in ("id", "name", "qualified_name", "type", "language", "file")],
     T.StructField("line_start", T.IntegerType()), T.StructField("line_end", T.IntegerType()),
     T.StructField("metadata", METADATA), T.StructField("attributes", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("source", SOURCE), T.StructField("metadata_extra", T.MapType(T.StringType(), T.StringType())),
 ])
 EDGES = T.StructType([
     T.StructField("edge_idx", T.LongType()),

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import impact, traverse
 from ..sources.diff import changed_lines
+from ..storage import materialize
 
 
 def read_diffs(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,20 +20,16 @@ def read_diffs(spark: SparkSession, folder: str) -> DataFrame:
 def impact_stream(diffs: DataFrame, nodes: DataFrame, edges: DataFrame, out: str, checkpoint: str, project: str = "", depth: int = 6) -> StreamingQuery:
     """Appends (diff, id, type, confidence, impact_status) of each diff to the Parquet table ``out``.
 
-    A batch is written under its number, so one that is run again replaces itself.
+    All diffs of a batch go through one plan. A batch is written under its number, so one that is run again replaces itself.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         lines = df.select("diff", F.posexplode(F.split(F.regexp_replace("text", "\r\n|\r", "\n"), "\n")).alias("line_no", "line"))
         lines = lines.select("diff", F.col("line_no").cast("long").alias("line_no"), "line")
         changes = changed_lines(lines)
-        names = [r.diff for r in df.select("diff").distinct().collect()]  # the files of one batch
-        result = None
-        for name in names:
-            seeds = impact.seeds(nodes, changes.where(F.col("diff") == name).drop("diff"), project)
-            hit = impact.impacted(nodes, traverse.impact_paths(edges, seeds, depth), seeds).select(F.lit(name).alias("diff"), "id", "type", "confidence", "impact_status")
-            result = hit if result is None else result.unionByName(hit)
-        if result is not None:
-            result.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        seeds = materialize(impact.seeds(nodes, changes, project, ("diff",)), "seeds")
+        paths = traverse.impact_paths(edges, seeds, depth, by=("diff",))
+        hit = impact.impacted(nodes, paths, seeds, ("diff",)).select("diff", "id", "type", "confidence", "impact_status")
+        hit.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return diffs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

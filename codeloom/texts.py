@@ -28,7 +28,14 @@ SENTENCES = {
     "overlap": "Changed lines [{}] overlap node source span {}.",
     "adjacent": "Changed line {} is adjacent to node source span {}.",
     "deleted": "Source file was deleted; node span could not be revalidated.",
+    "candidates": "Impacted nodes are review candidates, not guaranteed breakages.",
+    "depth": "Reverse dependency traversal was limited to {} hops.",
+    "purpose": "Evidence-backed change-impact prediction. Results describe potential impact, not guaranteed breakage.",
+    "model": "seed confidence multiplied by edge evidence and hop decay",
     # graph diagnostics
+    "no_list": "{} must be a list",
+    "no_object": "{} must be an object",
+    "no_source": "node {}.source must be an object",
     "blank_id": "{}.id must be a non-empty string",
     "blank_end": "{}.{} must be a non-empty string",
     "node_type": "node {} uses unregistered type {}; preserved as an extension",

@@ -216,3 +216,30 @@ def test_empty_graph(spark):
     assert reachability.classify(nodes, edges).count() == 0
     assert validate.validate(nodes, normalize.normalize_edges(edges)).count() == 0
     assert semantic.clusters(semantic.profiles(nodes, edges)).count() == 0
+
+
+def test_ids_past_999(spark):
+    edges = spark.createDataFrame([(i, "root", f"n{i}", "CALL") for i in range(1001)], "edge_idx long, source string, target string, type string")
+    nodes = spark.createDataFrame([(0, "root", "VERTEX")], "node_idx long, id string, type string")
+    paths = trace.number_paths(traverse.enumerate_paths(nodes, edges, spark.createDataFrame([("root",)], "root string")))
+    assert {r.path_id for r in paths.collect()} == {f"path_{n:03}" for n in range(1, 1002)}
+    named = spark.createDataFrame([(2 * k + i, f"python:m.Thing{k:04}{'View' if i else ''}", "VERTEX" if i else "PARTICLE") for k in range(1100) for i in (0, 1)], "node_idx long, id string, type string")
+    uses = spark.createDataFrame([(k, f"python:m.Thing{k:04}View", f"python:m.Thing{k:04}", "PARTICLE_ENTANGLEMENT") for k in range(1100)], "edge_idx long, source string, target string, type string")
+    found = semantic.clusters(semantic.profiles(named, uses)).orderBy("scope", "role").select("id").collect()
+    assert [r.id for r in found] == [f"semantic_cluster_{n:03}" for n in range(1, len(found) + 1)]
+
+
+def test_files_match_by_suffix(spark):
+    files = ["src/app/a.py", "app/a.py", "a.py", "lib/b.py", "xa.py", None, ""]
+    nodes = spark.createDataFrame([(i, f"n{i}", f) for i, f in enumerate(files)], "node_idx long, id string, file string")
+    changed = [("d1", "app/a.py"), ("d1", "deep/lib/b.py"), ("d2", "a.py"), ("d2", "zzz.py")]
+    changes = spark.createDataFrame([(d, p, [1], False) for d, p in changed], "diff string, path string, changed_lines array<int>, deleted boolean")
+    got = {(r.diff, r.id): r.changed_file for r in impact.match_files(nodes, changes, by=("diff",)).collect()}
+    want = {}
+    for d in ("d1", "d2"):
+        own = sorted(p for e, p in changed if e == d)
+        for i, f in enumerate(files):
+            hit = [p for p in own if f and p == f] or [p for p in own if f and (f.endswith(p) or p.endswith(f))]
+            if hit:
+                want[d, f"n{i}"] = hit[0]
+    assert got == want
