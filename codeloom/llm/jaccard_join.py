@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import materialize
+from .common import materialize, sized
 from .tokens import chunks, hash_words, mix, shingles
 
 #: Members of a bucket that are compared with each other, or with another block, in one go.
@@ -159,7 +159,7 @@ def _joined(base: DataFrame, threshold: float, n: int, recall: float) -> tuple[D
     members = materialize(members, "jaccard-members")
     wanted = texts.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("held.id").alias("held_id"), F.col("held.row").alias("held_row"))
     wanted = materialize(wanted, "jaccard-wanted")
-    held = base.join(wanted, F.col("id").eqNullSafe(F.col("held_id")) & (F.col("row") == F.col("held_row"))).select("key", "text")
+    held = base.join(sized(wanted), F.col("id").eqNullSafe(F.col("held_id")) & (F.col("row") == F.col("held_row"))).select("key", "text")
     sets = held.mapInArrow(_gram_sets(n), "key binary, grams array<long>").groupBy("key").agg(F.first("grams").alias("grams"))  # repeated rows
     sets = sets.join(texts.select("key", "copies", "bands"), "key")
     checked = members.join(sets, "key").groupBy("band", "value", "left", "right").applyInArrow(_verify(threshold), "key binary, links long, root binary")
