@@ -88,13 +88,56 @@ def line_hint(text: Column) -> Column:
     )
 
 
-# The starting points offered for new components.
+# The starting points offered for new components.
 TEMPLATES = {
-    ("django", "model"): "class {name}(models.Model):\n    created_at = models.DateTimeField(auto_now_add=True)\n",
-    ("django", "view"): "class {name}View(ListView):\n    model = {name}\n",
-    ("django", "serializer"): "class {name}Serializer(serializers.ModelSerializer):\n    class Meta:\n        model = {name}\n        fields = '__all__'\n",
-    ("flask", "model"): "class {name}(db.Model):\n    id = db.Column(db.Integer, primary_key=True)\n",
-    ("flask", "view"): "@app.route('/{lower}')\ndef list_{lower}():\n    return jsonify([])\n",
+    ("django", "model"): """class {name}(models.Model):
+    name = models.CharField(max_length=200)
+    created_at = models.DateTimeField(auto_now_add=True)
+    updated_at = models.DateTimeField(auto_now=True)
+
+    class Meta:
+        ordering = ["name"]
+
+    def __str__(self):
+        return self.name
+""",
+    ("django", "view"): """class {name}View(ListView):
+    model = {name}
+    template_name = "{lower}/list.html"
+
+
+class {name}DetailView(DetailView):
+    model = {name}
+    template_name = "{lower}/detail.html"
+
+
+class {name}CreateView(CreateView):
+    model = {name}
+    fields = ["name"]
+    template_name = "{lower}/form.html"
+    success_url = reverse_lazy("{lower}-list")
+""",
+    ("django", "serializer"): """class {name}Serializer(serializers.ModelSerializer):
+    class Meta:
+        model = {name}
+        fields = ["id", "name", "created_at", "updated_at"]
+        read_only_fields = ["id", "created_at", "updated_at"]
+""",
+    ("flask", "model"): """class {name}(db.Model):
+    id = db.Column(db.Integer, primary_key=True)
+    name = db.Column(db.String(200), nullable=False)
+    created_at = db.Column(db.DateTime, default=datetime.utcnow)
+    updated_at = db.Column(db.DateTime, default=datetime.utcnow, onupdate=datetime.utcnow)
+""",
+    ("flask", "view"): """@{lower}_bp.route("/{lower}s")
+def list_{lower}():
+    return render_template("{lower}/list.html", items={name}.query.all())
+
+
+@{lower}_bp.route("/{lower}s/<int:id>")
+def detail_{lower}(id):
+    return render_template("{lower}/detail.html", item={name}.query.get_or_404(id))
+""",
 }
 
 

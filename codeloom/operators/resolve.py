@@ -33,6 +33,20 @@ def imports(facts: DataFrame) -> DataFrame:
     return i.select("rel_path", "local", "seq", F.col("kind").alias("import_kind"), path.alias("import_path")).groupBy("rel_path", "local").agg(F.max_by(F.struct("import_kind", "import_path"), "seq").alias("i")).select("rel_path", "local", "i.*")
 
 
+def find_components(wanted: DataFrame, facts: DataFrame) -> DataFrame:
+    """``wanted`` (rel_path, name, line_start, line_end) with the definition's id and metrics that it means, null if that is not clear.
+
+    Of the file's definitions of the name: the only one that begins at the line, else the only one that spans the lines, else the only one.
+    """
+    d = definitions(facts).select(F.col("rel_path").alias("file_"), F.col("name").alias("name_"), F.struct("id", "metrics", F.col("line_start").alias("a"), F.col("line_end").alias("b")).alias("d"))
+    own = wanted.withColumn("row", F.struct("rel_path", "name", "line_start", "line_end")).distinct()
+    held = own.join(d, (F.col("rel_path") == F.col("file_")) & (F.col("name") == F.col("name_")), "left").groupBy("row").agg(F.collect_list("d").alias("all"))
+    exact = F.filter("all", lambda x: x["a"] == F.col("row.line_start"))
+    around = F.filter("all", lambda x: (x["a"] <= F.col("row.line_start")) & (x["b"] >= F.col("row.line_end")))
+    only = lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0)))
+    return held.withColumn("hit", F.coalesce(only(exact), only(around), only(F.col("all")))).select("row.*", "hit.id", "hit.metrics")
+
+
 class Names:
     """Lookups by name and by qualified name."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import numbered
-from ..functions.notation import HTTP, annotation, role_of, step
+from ..functions.notation import HTTP, annotation, diagram, role_of, step
 from ..schema import TERMINAL_TYPES, TRACE_PRIORITY
 from ..storage import materialize
 from .normalize import rank_edges
@@ -113,6 +113,18 @@ def minimal_ledger(nodes: DataFrame) -> DataFrame:
     return nodes.where("type = 'VERTEX'").select("id", F.concat(F.lit("g[URL] -> "), step(F.lit("VERTEX"), F.col("id"))).alias("notation"))
 
 
+def minimal_ledger_with_metadata(nodes: DataFrame) -> DataFrame:
+    """Each view after its request: id, notation with properties, diagram, interaction_type, complexity, energy and coupling."""
+    seen = node_facts(nodes).where("kind = 'VERTEX'")
+    first = F.struct(*[F.lit(HTTP.get(k)).cast("double").alias(k) for k in _SHOWN])
+    steps = F.array(F.struct(F.lit("PROPAGATOR_HTTP").alias("role"), F.lit("URL").alias("name"), first.alias("metadata")), F.struct(F.lit("VERTEX").alias("role"), F.col("node").alias("name"), F.col("meta").alias("metadata")))
+    m = lambda k, d: F.coalesce(F.col(f"meta.{k}"), F.lit(d))
+    return seen.select(
+        F.col("node").alias("id"), F.concat(F.lit(f"g[URL]{_HTTP_NOTE} -> "), step(F.lit("VERTEX"), F.col("node"), annotation(F.col("meta")))).alias("notation"), diagram(steps).alias("diagram"),
+        F.lit("backend").alias("interaction_type"), (m("mass", 1.0) + HTTP["mass"]).alias("complexity"), (m("energy", 0.5) + HTTP["energy"]).alias("energy"), F.greatest(m("coupling", 0.5), F.lit(HTTP["coupling"])).alias("coupling"),
+    )
+
+
 def ghosts(nodes: DataFrame, used: DataFrame) -> DataFrame:
     """Ids of nodes that no ledger (``used.name``) shows."""
     return nodes.select("id").distinct().join(used.select(F.col("name").alias("id")).distinct(), "id", "left_anti")

@@ -122,6 +122,8 @@ ORACLES["trace_flat"] = f"{_VISITS} SELECT root, pos, node, role FROM visits"
 ORACLES["flat_ledger"] = f"""{_VISITS}, shown AS (SELECT v.*, n.mass, n.type FROM visits v JOIN nodes n ON n.id = v.node JOIN nodes r ON r.id = v.root AND r.type = 'VERTEX')
 SELECT root, '{_HTTP}' || string_agg({_sym('role')} || '[' || node || ']' || {_NOTE}, ' -> ' ORDER BY pos) AS notation, count(*) + 1 AS trace_length,
        round(sum(coalesce(mass, 1.0::DOUBLE)) + 0.1::DOUBLE, 6) AS complexity, round(sum(CASE WHEN type = 'VERTEX' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END) + 1.0::DOUBLE, 6) AS energy, 0.9::DOUBLE AS coupling FROM shown GROUP BY root"""
+ORACLES["minimal_ledger_metadata"] = f"""WITH nodes AS ({_N}) SELECT id, '{_HTTP}V[' || id || ']' || '{{ₘ' || mass || ',ᴱ^0.8}}' AS notation, 1 AS vertices, 1 AS propagators, 'backend' AS interaction_type,
+  round(mass + 0.1::DOUBLE, 6) AS complexity, 1.8::DOUBLE AS energy, 0.9::DOUBLE AS coupling FROM nodes WHERE type = 'VERTEX'"""
 ORACLES["minimal_ledger"] = f"WITH nodes AS ({_N}) SELECT id, 'g[URL] -> V[' || id || ']' AS notation FROM nodes WHERE type = 'VERTEX'"
 ORACLES["ghost_nodes"] = f"{_VISITS} SELECT id FROM nodes EXCEPT SELECT node FROM visits"
 
@@ -336,6 +338,9 @@ ORACLES["py_extract"] = f"WITH {_SHOP}, {_DEFS} SELECT {_py(_TAIL)} AS id, kind,
 ORACLES["component_metrics"] = f"""WITH {_SHOP}, {_DEFS} SELECT {_py(_TAIL)} AS id, loc, cc AS cyclomatic_complexity, branches AS branch_count, calls AS call_count, assigned AS assignment_count, returned AS return_count,
   raised AS raise_count, handlers AS exception_handler_count, fields AS field_count, rels AS relationship_count FROM shop, defs"""
 ORACLES["call_resolution"] = f"WITH {_SHOP}, {_CALLS} SELECT {_py('source')} AS source, {_py('target')} AS target, resolution, confidence::DOUBLE AS confidence, line FROM shop, calls"
+ORACLES["component_lookup"] = f"""WITH {_SHOP}, w(f, name, line_start, tail, loc) AS (VALUES ('models', 'save', 8, 'models.{{n}}.save', 3), ('models', 'check', 13, 'models.{{n}}.check', 3), ('services', 'run', 0, 'services.run', 7),
+  ('services', 'run', 12, 'services.run', 7), ('services', 'gone', 1, NULL, NULL))
+SELECT 'shop/p' || k || '/' || f || '.py' AS rel_path, name, line_start, {_py('tail')} AS id, loc FROM shop, w"""
 ORACLES["framework_detect"] = f"""WITH n AS (SELECT count(*) AS c, 10.0::DOUBLE * count(*) AS fastapi, 5.0::DOUBLE * count(*) AS django FROM supplier)
 SELECT 'fastapi' AS framework, {_half_up('least(1.0::DOUBLE, fastapi / 10) * 0.65::DOUBLE + (fastapi - django) / greatest(fastapi, 1) * 0.35::DOUBLE')} AS confidence, (3 * c)::INT AS evidence_count, django AS django_score FROM n"""
 _PAGE = "'shop/p' || k || '/page.html'"

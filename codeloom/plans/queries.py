@@ -226,6 +226,12 @@ def minimal_ledger(spark, d):
     return trace.minimal_ledger(_nodes(spark, d))
 
 
+@query
+def minimal_ledger_metadata(spark, d):
+    shown = trace.minimal_ledger_with_metadata(_nodes(spark, d))
+    return shown.select("id", "notation", F.size("diagram.vertices").alias("vertices"), F.size("diagram.propagators").alias("propagators"), "interaction_type", F.round("complexity", 6).alias("complexity"), F.round("energy", 6).alias("energy"), "coupling")
+
+
 @query
 def ghost_nodes(spark, d):
     nodes, edges = _graph(spark, d)
@@ -543,6 +549,17 @@ def call_resolution(spark, d):
     return resolve.resolve_calls(facts, resolve.Names(facts)).select("source", "target", "resolution", "confidence", "line")
 
 
+@query
+def component_lookup(spark, d):
+    """Definitions meant by name and lines: at the line, around the lines, by name alone, and unclear."""
+    n = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"))
+    asked = [("models.py", "save", 8, None), ("models.py", "check", 13, 14), ("services.py", "run", None, None), ("services.py", "run", 12, 12), ("services.py", "gone", 1, 2)]
+    rows = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(name).alias("name"), F.lit(a).cast("int").alias("line_start"), F.lit(b).cast("int").alias("line_end")) for f, name, a, b in asked])
+    wanted = n.select("k", F.explode(rows).alias("w")).select(F.concat(F.lit("shop/p"), "k", F.lit("/"), "w.f").alias("rel_path"), "w.name", "w.line_start", "w.line_end")
+    found = resolve.find_components(wanted, _facts(spark, d))
+    return found.select("rel_path", "name", F.coalesce("line_start", F.lit(0)).alias("line_start"), "id", F.col("metrics.loc").alias("loc"))
+
+
 @query
 def framework_detect(spark, d):
     found = frameworks.detect(source_files(spark, d), _facts(spark, d).select("rel_path", F.col("all_imports").alias("imports"), "called", F.col("all_decorators").alias("decorators")))
