@@ -443,46 +443,57 @@ def _partners(n: int, least: int, threshold: float):
     width, need = least - n + 1, _least_shared(least, threshold, n)
 
     def run(table: pa.Table) -> pa.Table:
-        """For each stretch that asks, that of an earlier document which holds a passage around its anchor and shares most n-grams with it."""
-        asks, holds, ids = (table[c].to_numpy() for c in ("asks", "holds", "id"))
-        words = [np.frombuffer(w.as_buffer(), np.uint16) for w in table["words"]]
-        rows: list[np.ndarray] = [_grams(w, n) for w in words]
-        flat, code = np.unique(np.concatenate([*rows, np.zeros(0, np.uint64)]), return_inverse=True)
-        spans = np.cumsum([0, *[len(r) for r in rows]])
-        sets = [np.unique(code[a:b]) for a, b in zip(spans[:-1], spans[1:], strict=True)]
-        member, owner = np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        alive = np.ones(len(sets), bool)
-        while True:  # stretches with too few n-grams that others of the group have can't hold a passage of them
-            held = np.bincount(member[alive[owner]], minlength=len(flat))
-            still = alive & (np.bincount(owner, weights=held[member] > 1, minlength=len(sets)) >= need)
+        """For each stretch that asks, that of an earlier document under the same signature which holds a passage around its anchor and shares most n-grams with it."""
+        asks, holds, ids, signature = (table[c].to_numpy() for c in ("asks", "holds", "id", "signature"))
+        raw = table["words"].combine_chunks()
+        spans = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] // 2
+        words = np.frombuffer(raw.buffers()[2], np.uint16)[: spans[-1]]
+        row = np.repeat(np.arange(len(raw)), np.diff(spans))
+        inside = np.flatnonzero(np.arange(spans[0], spans[-1]) + n <= spans[row + 1])  # n-grams that end in their row
+        grams = _grams(words[spans[0] :], n)[inside] if len(inside) else np.zeros(0, np.uint64)
+        row = row[inside]
+        # an n-gram counts per signature: all signatures of the table are gone through at once
+        flat, code = np.unique(mix(grams ^ mix(signature.view(np.uint64), 9)[row], 4), return_inverse=True)
+        at_row = np.searchsorted(row, np.arange(len(raw) + 1))
+        twice = np.flatnonzero(np.bincount(code, minlength=1)[code] > 1)
+        pair = np.sort(row[twice] * (len(flat) + 1) + code[twice])
+        pair = pair[np.flatnonzero(np.diff(pair, prepend=-1))]
+        owner, member = pair // (len(flat) + 1), pair % (len(flat) + 1)
+        of_row = np.searchsorted(owner, np.arange(len(raw) + 1))
+        alive = np.ones(len(raw), bool)
+        while True:  # stretches with too few n-grams that others of the signature have can't hold a passage of them
+            held = np.bincount(member[alive[owner]], minlength=len(flat) + 1)
+            still = alive & (np.bincount(owner, weights=held[member] > 1, minlength=len(raw)) >= need)
             if (still == alive).all():
                 break
             alive = still
         kept = (alive & holds)[owner] & (held[member] > 1)
         order = np.argsort(member[kept], kind="stable")
-        holders, first = owner[kept][order], np.searchsorted(member[kept][order], np.arange(len(flat) + 1))
+        holders, first = owner[kept][order], np.searchsorted(member[kept][order], np.arange(len(flat) + 2))
         out: dict[str, list] = {c: [] for c in ("id", "begin", "anchor", "source_id", "source_begin", "source_anchor")}
         place = {c: table[c].to_numpy() for c in ("id", "begin", "anchor")}
         before = table["before"].to_numpy()
-        mark = np.zeros(len(flat), bool)
+        mark = np.zeros(len(flat) + 1, bool)
 
         def gain(i: int, j: int) -> float:
-            mark[sets[j]] = True
-            shared = mark[code[spans[i] : spans[i + 1]]]
-            mark[sets[j]] = False
+            other = member[of_row[j] : of_row[j + 1]]
+            mark[other] = True
+            shared = mark[code[at_row[i] : at_row[i + 1]]]
+            mark[other] = False
             return most_gain(shared, width, threshold, int(before[i]))
 
         for m in np.flatnonzero(asks & alive).tolist():
-            count = first[sets[m] + 1] - first[sets[m]]
-            at = np.arange(count.sum()) + np.repeat(first[sets[m]] - (np.cumsum(count) - count), count)
-            shared = np.bincount(holders[at], minlength=len(sets))
-            others = np.flatnonzero((shared >= need) & (ids < ids[m]))
-            own = code[spans[m] : spans[m + 1]]
-            for k in others[np.lexsort((ids[others], -shared[others]))].tolist():
-                x = int(before[m])
+            own = member[of_row[m] : of_row[m + 1]]
+            count = first[own + 1] - first[own]
+            at = np.arange(count.sum()) + np.repeat(first[own] - (np.cumsum(count) - count), count)
+            others, shared = np.unique(holders[at], return_counts=True)
+            some = (shared >= need) & (ids[others] < ids[m])
+            others, shared = others[some], shared[some]
+            x = int(before[m])
+            for k in others[np.lexsort((ids[others], -shared))].tolist():
                 if gain(m, k) + gain(k, m) < -1e-9:
                     continue
-                if any(p[0] <= x and x + n <= p[1] for p in matching_passages(words[m], words[k], n, least, threshold)):
+                if any(p[0] <= x and x + n <= p[1] for p in matching_passages(words[spans[m] : spans[m + 1]], words[spans[k] : spans[k + 1]], n, least, threshold)):
                     for c, i in (("", m), ("source_", k)):
                         for name in place:
                             out[c + name].append(int(place[name][i]))
@@ -507,9 +518,8 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
     only the stretches of words under such signatures. Members are joined to
     their group's first by signature, stretches are compared word by word. Members that no passage found so far
     covers are compared with all earlier ones of the signature that share n-grams enough, those that share most first, until
-    one holds the passage. For this, equal stretches around an anchor are one, and a signature of more than ``BLOCK``
-    different ones first loses those whose n-grams are too rare in it to make a passage, by two aggregations, and is then searched in pairs
-    of blocks. Texts are never shuffled; a frequent passage is a join that the planner splits.
+    one holds the passage. For this, equal stretches around an anchor are one, a signature of more than ``BLOCK`` different ones is searched in pairs of blocks (of those that ask and those that
+    hold), and one where more than that ask first loses those whose n-grams are too rare in it to make a passage, by two aggregations. Texts are never shuffled; a frequent passage is a join that the planner splits.
 
     Null ids and null, empty or shorter texts give no rows. Rows that share an
     id are taken as one document. Passages repeated within one document only are
@@ -577,21 +587,26 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
         return materialize(df.groupBy("signature").agg(F.count("*").alias("size"), F.count_if("asks").alias("asking")).where("size > 1 AND asking > 0"), "passages-sizes")
 
     sizes = counted(members)
-    # large groups lose the stretches that share too few n-grams with all others together: a line that very many documents have leaves none
-    large = members.join(sizes.where(F.col("size") > BLOCK).select("signature"), "signature", "left_semi")
+    # groups that ask and hold very much lose the stretches that share too few n-grams with all others together: a line that very many documents have leaves none
+    large = members.join(sizes.where(F.col("asking") > BLOCK).select("signature"), "signature", "left_semi")
     grams = materialize(large.select("signature", "hash", "words").mapInArrow(_gram_rows(n), "signature long, hash long, gram long"), "passages-grams")
     common = materialize(grams.groupBy("signature", "gram").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "passages-common")
     rich = grams.join(common, ["signature", "gram"]).groupBy("signature", "hash").count().where(F.col("count") >= _least_shared(min_words, threshold, n))
-    large = materialize(large.join(rich.select("signature", "hash"), ["signature", "hash"], "left_semi"), "passages-large")
+    large = large.join(rich.select("signature", "hash"), ["signature", "hash"], "left_semi")
+    wide = members.join(sizes.where((F.col("size") > BLOCK) & (F.col("asking") <= BLOCK)).select("signature"), "signature", "left_semi")
+    large = materialize(large.unionByName(wide), "passages-large")
     small = members.join(sizes.where(F.col("size") <= BLOCK).select("signature"), "signature", "left_semi")
-    columns = ["signature", "ask", "block", "asks", "holds", "id", "begin", "anchor", "before", "words"]
-    small = small.withColumns({"ask": F.lit(0), "block": F.lit(0), "holds": F.lit(True)}).select(columns)
+    columns = ["pack", "signature", "ask", "block", "asks", "holds", "id", "begin", "anchor", "before", "words"]
+    # small groups go through together, about BLOCK stretches at a time
+    packs = max(1, (sizes.where(F.col("size") <= BLOCK).agg(F.sum("size")).first()[0] or 0) // BLOCK)
+    pack = F.pmod(F.xxhash64("signature"), F.lit(packs))
+    small = small.withColumns({"pack": pack, "ask": F.lit(0), "block": F.lit(0), "holds": F.lit(True)}).select(columns)
     blocks = counted(large).select("signature", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asking") / BLOCK).cast("int").alias("asking"))
-    large = large.join(blocks, "signature").withColumn("at", F.xxhash64("hash"))
+    large = large.join(blocks, "signature").withColumns({"at": F.xxhash64("hash"), "pack": F.col("signature")})
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     holding = large.withColumns({"block": F.pmod("at", F.col("blocks")).cast("int"), "asks": F.lit(False), "holds": F.lit(True)}).withColumn("ask", every("asking")).select(columns)
     asking = large.where("asks").withColumns({"ask": F.pmod("at", F.col("asking")).cast("int"), "holds": F.lit(False)}).withColumn("block", every("blocks")).select(columns)
     sides = small.union(holding).union(asking)
-    partners = sides.groupBy("signature", "ask", "block").applyInArrow(_partners(n, min_words, threshold), "id long, begin long, anchor long, source_id long, source_begin long, source_anchor long")
+    partners = sides.groupBy("pack", "ask", "block").applyInArrow(_partners(n, min_words, threshold), "id long, begin long, anchor long, source_id long, source_begin long, source_anchor long")
     partners = materialize(partners.union(alike), "passages-partners")
-    return found.union(compared(partners, "passages-of-others")).distinct()
+    return found.unionByName(compared(partners, "passages-of-others")).distinct()

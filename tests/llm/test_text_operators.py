@@ -467,7 +467,7 @@ def test_many_runs_cover_what_few_find(monkeypatch):
         monkeypatch.undo()
         assert bool(whole) == bool(parts)
         for a, b, c, d, similarity in parts:
-            assert b - a >= 50 and similarity >= 0.8 and any(p[0] <= a and b <= p[1] for p in whole)
+            assert b - a >= 50 and similarity >= 0.8 and any(min(b, p[1]) - max(a, p[0]) >= 50 for p in whole)
 
 
 def test_passages_by_brute_force(spark):
