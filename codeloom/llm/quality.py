@@ -10,7 +10,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import materialize, sized
 from .tokens import chunks, hash_words, mix
@@ -242,25 +241,3 @@ def classify(docs: DataFrame, model: Classifier | None, *, id_col: str = "doc_id
     scored = materialize(rows.mapInArrow(run, f"id {kind}, text_hash long, host string, path string, p_low double, p_toxic double"), "quality-scores")
     out = _with_sites(scored, threshold)
     return out.select("id", "text_hash", "host", "path", "p_low", "p_toxic", "low", "toxic", "keep")
-
-
-def keep_accepted(docs: DataFrame, model: Classifier | None, *, text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with the columns of ``docs``.
-
-    Rows go through the classifier whole and are written with their scores; the
-    sites' sums are joined to that table, so no text is shuffled unless there
-    are more sites than can be broadcast. Nulls, empty texts, repeated rows and a missing model are
-    as in ``classify``. Columns of any names pass through.
-    """
-    own = [f"c{i}" for i in range(len(docs.columns))]  # short names that clash with none of the scores'
-    text_at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = model.score(batch.column(text_at)) if model else np.zeros((2, len(batch)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[0]), pa.array(p[1])], [*batch.schema.names, "p_low", "p_toxic"])
-
-    rows = docs.toDF(*own).withColumns({"host": F.col(own[docs.columns.index(host_col)]).cast("string"), "path": F.col(own[docs.columns.index(path_col)]).cast("string")})
-    schema = StructType([*rows.schema.fields, StructField("p_low", DoubleType()), StructField("p_toxic", DoubleType())])
-    scored = materialize(rows.mapInArrow(run, schema), "quality-rows")
-    return _with_sites(scored, threshold).where("keep").select(*own).toDF(*docs.columns)

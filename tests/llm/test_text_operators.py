@@ -653,9 +653,6 @@ def test_quality_classifier(spark):
     got = {r.id: r for r in judged.collect()}
     wrong = [i for i, _, _, _, kind in rows if got[i].keep != (kind == "good")]
     assert len(got) == len(rows) + 4 and len(wrong) <= 8
-    clash = df.withColumns({"p_low": F.lit("x"), "host": F.lit(b"y"), "keep": F.array(F.lit(1))})
-    kept = quality.keep_accepted(clash, quality.fit(df, lab))
-    assert kept.columns == clash.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.id) for r in judged.where("keep").collect())
     free = quality.classify(df, quality.fit(df, lab.limit(0)))
     assert free.where("keep").count() == len(rows) + 4
     assert quality.classify(df.limit(0), None).count() == 0
