@@ -23,12 +23,23 @@ from codeloom.storage import scratch_scope
 ORACLE_SQL = None
 
 
+def _marked(docs: DataFrame, decided: DataFrame, how: str) -> tuple[DataFrame, str]:
+    """``docs`` joined with a written table (id, row, ...) on id and text hash; the hash's column name."""
+    hash_, id_, row = (fresh([*docs.columns, *decided.columns], c) for c in ("hash_of_text", "decided_id", "decided_row"))
+    decided = decided.withColumnsRenamed({"id": id_, "row": row})
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(row))
+    return docs.withColumn(hash_, F.xxhash64("text")).join(sized(decided), same, how), hash_
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents (low quality or toxic, by text and site) go.
 
-    A null or empty text is judged as empty, a null source or lang is a site of its own; repeated rows are judged alike. Without labels all stay.
+    A null or empty text is judged as empty, a null source or lang is a site of its own; rows that repeat id and text go together. Without labels all stay.
     """
-    return quality.keep_accepted(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    judged = quality.classify(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    rejected = judged.where("NOT keep").select("id", F.col("text_hash").alias("row")).distinct()
+    kept, hash_ = _marked(docs, materialize(rejected, "pipeline-rejected"), "left_anti")
+    return kept.drop(hash_)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +54,6 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
-def _marked(docs: DataFrame, decided: DataFrame, how: str) -> tuple[DataFrame, str]:
-    """``docs`` joined with a written table (id, row, ...) on id and text hash; the hash's column name."""
-    hash_, id_, row = (fresh([*docs.columns, *decided.columns], c) for c in ("hash_of_text", "decided_id", "decided_row"))
-    decided = decided.withColumnsRenamed({"id": id_, "row": row})
-    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(row))
-    return docs.withColumn(hash_, F.xxhash64("text")).join(sized(decided), same, how), hash_
-
-
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the least id (null last).
 
