@@ -77,7 +77,11 @@ def memberships(grouped: DataFrame) -> DataFrame:
     return grouped.select("id", F.explode("members").alias("node")).groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("clusters"))
 
 
-def annotate(ledger: DataFrame, grouped: DataFrame, key: str = "root") -> DataFrame:
-    """Ledger rows with the clusters (id, summary, confidence) of their node and their number."""
-    own = grouped.select(F.explode("members").alias("node"), F.struct("id", "summary", "confidence").alias("c")).groupBy("node").agg(F.array_sort(F.collect_list("c")).alias("semantic_clusters"))
-    return ledger.join(own, F.col(key) == F.col("node"), "left").drop("node").withColumn("semantic_cluster_count", F.coalesce(F.size("semantic_clusters"), F.lit(0)))
+def annotate(ledger: DataFrame, grouped: DataFrame, key: str = "root", fields: tuple[str, ...] = ("id", "summary", "confidence")) -> DataFrame:
+    """Ledger rows with the clusters (their ``fields``, in order of those) of their node and their number.
+
+    Sorted and merged, never broadcast: a cluster's summary is repeated for each of its members, which is many times
+    what the planner takes the (well compressed) clusters for, and would pass through the driver.
+    """
+    own = grouped.select(F.explode("members").alias("node"), F.struct(*fields).alias("c")).groupBy("node").agg(F.array_sort(F.collect_list("c")).alias("semantic_clusters"))
+    return ledger.join(own.hint("merge"), F.col(key) == F.col("node"), "left").drop("node").withColumn("semantic_cluster_count", F.coalesce(F.size("semantic_clusters"), F.lit(0)))

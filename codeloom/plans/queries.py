@@ -387,7 +387,7 @@ def cluster_membership(spark, d):
 def ledger_annotate(spark, d):
     nodes, edges = _named(spark, d)
     ledger = trace.minimal_ledger(nodes.select("id", "type").distinct())
-    done = semantic.annotate(ledger, semantic.clusters(semantic.profiles(nodes, edges)), "id")
+    done = semantic.annotate(ledger, semantic.clusters(semantic.profiles(nodes, edges)), "id", fields=("id",))
     return done.select("id", "notation", "semantic_cluster_count", F.coalesce(F.array_join(F.transform("semantic_clusters", lambda c: c["id"]), ","), F.lit("")).alias("cluster_ids"))
 
 

@@ -243,3 +243,13 @@ def test_files_match_by_suffix(spark):
             if hit:
                 want[d, f"n{i}"] = hit[0]
     assert got == want
+
+
+def test_ledger_is_annotated_without_a_broadcast_and_with_the_fields_asked_for(spark):
+    ledger = spark.sql("SELECT * FROM VALUES ('a'), ('c') AS t(root)")  # tables that the planner knows to be small
+    grouped = spark.sql("SELECT * FROM VALUES ('k2', 'two', 0.5D, array('a', 'b')), ('k1', 'one', 0.9D, array('a')) AS t(id, summary, confidence, members)")
+    done = semantic.annotate(ledger, grouped)
+    assert "Broadcast" not in done._jdf.queryExecution().executedPlan().toString()  # summaries, once per member, would pass through the driver
+    assert {r.root: [tuple(c) for c in r.semantic_clusters or []] for r in done.collect()} == {"a": [("k1", "one", 0.9), ("k2", "two", 0.5)], "c": []}
+    few = semantic.annotate(ledger, grouped, fields=("id",))
+    assert {r.root: (r.semantic_cluster_count, [tuple(c) for c in r.semantic_clusters or []]) for r in few.collect()} == {"a": (2, [("k1",), ("k2",)]), "c": (0, [])}
