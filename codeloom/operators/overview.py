@@ -47,9 +47,14 @@ def in_file(nodes: DataFrame, file_name: str) -> DataFrame:
     return nodes.where(F.col("file") == file_name)
 
 
-def first_edge_by_type(edges: DataFrame) -> DataFrame:
-    """(source, type, target) of the first edge of each type from each node."""
-    return edges.groupBy("source", "type").agg(F.min_by("target", "edge_idx").alias("target"))
+def first_edge_by_type(edges: DataFrame, place: str | None = None) -> DataFrame:
+    """(source, type, target) of the first edge of each type from each node.
+
+    Of edges with one ``edge_idx`` that of the least ``place`` (any column that can be compared) is the first, then that
+    of the least target. Edges without a number or a target are passed over.
+    """
+    order = F.struct("edge_idx", *[place] * (place is not None), "target")
+    return edges.groupBy("source", "type").agg(F.min_by("target", F.when(F.col("edge_idx").isNotNull() & F.col("target").isNotNull(), order)).alias("target"))
 
 
 def targets_by_type(edges: DataFrame, kind: str) -> DataFrame:

@@ -5,6 +5,8 @@ Table names stand in braces: Spark fills in DataFrames, others the names.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 NODES = """
@@ -78,6 +80,24 @@ def lift(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(body.replace("VARCHAR(9)", "STRING"))
 
 
+def lift_in_order(spark: SparkSession, sf_dir: str, *statements: str) -> DataFrame:
+    """The results of the statements one after the other, with ``place``: where a row comes in them.
+
+    That is the number of its SELECT, then the file and the row of the table that it was read from (those of a SELECT DISTINCT have one place).
+    The statements are plain SELECTs of one table each, joined by UNION ALL.
+    """
+    out: DataFrame | None = None
+    for n, select in enumerate(x for sql in statements for x in sql.split("UNION ALL")):
+        (table,) = set(re.findall(r"\{(\w+)\}", select))
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select("*", "_metadata.file_path", "_metadata.row_index")
+        rows.createOrReplaceTempView(f"codeloom_{table}_rows")
+        at = "'' AS file_path, -1L AS row_index" if "DISTINCT" in select else "file_path, row_index"
+        body = select.replace("FROM {", f", struct({n} AS part, {at}) AS place FROM {{", 1).replace(f"{{{table}}}", f"codeloom_{table}_rows")
+        part = spark.sql(body.replace("VARCHAR(9)", "STRING"))
+        out = part if out is None else out.union(part.toDF(*out.columns))
+    return out
+
+
 def plain(sql: str) -> str:
     """The statement over tables of the plain names."""
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):

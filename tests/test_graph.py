@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import impact, normalize, overview, reachability, semantic, trace, traverse, validate
+from codeloom.plans.oracles import ORACLES
+from codeloom.plans.queries import QUERIES
 from codeloom.schema import GraphSchemaError
 from codeloom.sources.diff import changed_lines, diff_lines
 
@@ -253,3 +256,25 @@ def test_ledger_is_annotated_without_a_broadcast_and_with_the_fields_asked_for(s
     assert {r.root: [tuple(c) for c in r.semantic_clusters or []] for r in done.collect()} == {"a": [("k1", "one", 0.9), ("k2", "two", 0.5)], "c": []}
     few = semantic.annotate(ledger, grouped, fields=("id",))
     assert {r.root: (r.semantic_cluster_count, [tuple(c) for c in r.semantic_clusters or []]) for r in few.collect()} == {"a": (2, [("k1",), ("k2",)]), "c": (0, [])}
+
+
+def test_first_edge_of_equal_numbers_is_the_first_of_the_table(spark, tmp_path):
+    tables = {
+        "lineitem": ("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long", [(1, 1, 7, 5), (1, 1, 7, 9), (1, 1, 7, 2), (2, 1, 8, 9), (2, 1, 8, 3), (0, 1, 9, None), (1, 1, 9, 4)]),
+        "orders": ("o_orderkey long, o_custkey long", [(1, 1)]), "customer": ("c_custkey long, c_nationkey int", [(1, 1)]),
+        "supplier": ("s_suppkey long, s_nationkey int", [(1, 1)]), "nation": ("n_nationkey int, n_regionkey int", [(1, 1)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.source, r.type): r.target for r in QUERIES["first_edge_by_type"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.execute("SET threads = 1")  # of more, arg_min takes a row of equals that depends on which ends first
+        for name in tables:
+            db.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        assert got == {(s, t): target for s, t, target in db.execute(ORACLES["first_edge_by_type"]).fetchall()}
+    assert [got[f"part:{k}", "DEPENDENCY"] for k in (7, 8, 9)] == ["supplier:5", "supplier:9", "supplier:4"]
+
+
+def test_first_edge_without_a_place_is_that_of_the_least_target(spark):
+    edges = spark.createDataFrame([(1, "a", "y", "CALL"), (1, "a", "x", "CALL"), (1, "a", "z", "CALL"), (None, "b", "u", "CALL"), (3, "b", "v", "CALL")], "edge_idx long, source string, target string, type string")
+    assert {r.source: r.target for r in overview.first_edge_by_type(edges).collect()} == {"a": "x", "b": "v"}
