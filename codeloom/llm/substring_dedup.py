@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +14,16 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .tokens import chunks, hash_stretches, hash_words, mix, shingles
 
-#: The filter of repeated signatures that every task gets has 2**FILTER_BITS bits (16 MB), whatever the input.
+#: The filter of repeated signatures that every task gets has two parts of 2**FILTER_BITS bits (16 MB each), whatever the input.
 FILTER_BITS = 27
+#: The parts are set by bits of a signature that they do not share: these are passed over on the right.
+_PARTS = (64 - FILTER_BITS, 64 - 2 * FILTER_BITS)
 #: Pairs of hash functions whose windows are joined. At similarity 0.8 one pair meets with probability 0.64, one of three with 0.95.
 BANDS = 3
 #: Different stretches of a signature that are searched for partners in one go; larger groups are thinned out and cut into blocks.
 BLOCK = 4096
+#: Rows of keys up to which they are sent to every executor, so that what they pick is picked before it is shuffled. Counted, since files are well compressed.
+FEW = 1 << 20
 #: Pairs of equal n-grams of two stretches that are held at once.
 _SLICE = 1 << 20
 #: Runs of two stretches that are chained all together; of more, those of one band of shifts after the other.
@@ -131,7 +137,15 @@ _REGION = {"id": pa.int64(), "begin": pa.int64(), "words": pa.binary()} | {c: pa
 
 
 def _regions(n: int, width: int, margin: int, filled: np.ndarray):
-    shift, low = np.uint64(64 - FILTER_BITS), np.uint64(63)
+    low, slots = np.uint64(63), np.uint64((1 << FILTER_BITS) - 1)
+
+    def passes(signature: np.ndarray) -> np.ndarray:
+        """Which ones both parts of the filter hold."""
+        hit = np.arange(len(signature))
+        for part, right in zip(filled, _PARTS, strict=True):
+            slot = (signature[hit] >> np.uint64(right)) & slots
+            hit = hit[(part[slot >> np.uint64(6)] >> (slot & low)) & np.uint64(1) == 1]
+        return hit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,8 +155,7 @@ def _regions(n: int, width: int, margin: int, filled: np.ndarray):
                 grams, at = shingles(words, ptr, n)
                 found = []
                 for signature, anchor, first, last in cells(grams, at, width):
-                    slot = signature >> shift
-                    hit = (filled[slot >> np.uint64(6)] >> (slot & low)) & np.uint64(1) == 1
+                    hit = passes(signature)
                     found.append(np.stack([signature[hit].view(np.int64), anchor[hit], first[hit], last[hit]]))
                 if not found or not sum(f.shape[1] for f in found):
                     continue
@@ -179,6 +192,14 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def _among(grams: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the n-grams are among the others."""
+    if not len(others):
+        return np.zeros(len(grams), bool)
+    others = np.sort(others)
+    return others[np.minimum(np.searchsorted(others, grams), len(others) - 1)] == grams
+
+
 def shared_runs(own: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
     """(own begin, other begin, number of ``n``-grams) of all longest runs of equal words that hold ``n``-grams, in order of shift and place."""
     a, b = _grams(own, n), _grams(other, n)
@@ -329,28 +350,38 @@ def _dense_bands(runs: np.ndarray, width: int, threshold: float) -> list[tuple[n
     return sorted(out, key=lambda x: -int((x[1] - x[0]).sum()))
 
 
+def _outer(runs: np.ndarray) -> np.ndarray:
+    """Without the runs that lie within an earlier one on both sides; longer ones come first."""
+    begin, end, keep = runs[:, :2], runs[:, :2] + runs[:, 2:], []
+    for k in range(0, len(runs), 256):  # in blocks, for very many runs
+        part, upto = slice(k, k + 256), min(k + 256, len(runs))
+        within = np.tri(upto - k, upto, k - 1, dtype=bool)
+        for side in (0, 1):
+            within &= (begin[None, :upto, side] <= begin[part, None, side]) & (end[part, None, side] <= end[None, :upto, side])
+        keep.append(~within.any(axis=1))
+    return runs[np.concatenate(keep)]
+
+
 def _chains(runs: np.ndarray, ends: tuple[int, int], n: int, least: int, threshold: float, most_gap: int | None = None) -> list[tuple[int, int, int, int, float]]:
     """From each run the chain that reaches farthest, of those that are passages; with ``most_gap`` no gap is wider, and starts that a passage covers are passed over."""
     if not len(runs):
         return []
-    runs = runs[np.lexsort((runs[:, 0], np.abs(runs[:, 0] - runs[:, 1]), -runs[:, 2]))]
-    kept: list[tuple[int, int, int]] = []
-    for a, b, size in runs.tolist():  # those within a longer one on both sides go
-        if not any(c <= a and d <= b and a + size <= c + more and b + size <= d + more for c, d, more in kept):
-            kept.append((a, b, size))
-    kept.sort()
+    kept = sorted(map(tuple, _outer(runs[np.lexsort((runs[:, 0], np.abs(runs[:, 0] - runs[:, 1]), -runs[:, 2]))]).tolist()))
     gain, (own_end, other_end), widest = 1 - threshold, ends, max(k[2] for k in kept)
-    into: list[list[tuple[int, float]]] = []  # per run, the runs that may come before it in a chain, and what going on to it adds
-    low = 0
+    into: list[list[tuple[int, float]]] = []  # per run, the runs that may come before it in a chain (the last first), and what going on to it adds
+    low, before = 0, []
     for e, (a, b, size) in enumerate(kept):
         links, between = [], []
         while most_gap is not None and kept[low][0] + widest + most_gap < a:
             low += 1
-        for p in sorted(range(low, e), key=lambda p: -kept[p][0] - kept[p][1]):
+        beyond = min(own_end - a, other_end - b)
+        for _, p in before:  # from the farthest on
+            if p < low:
+                continue
             c, d, long_ = kept[p]
             gaps = a + b - c - d - 2 * long_
             # too far for all that both sides of the gap could hold
-            if threshold * gaps > gain * (min(c, d) + long_ + min(own_end - a, other_end - b)) or (most_gap is not None and gaps > most_gap):
+            if threshold * gaps > gain * ((c if c < d else d) + long_ + beyond) or (most_gap is not None and gaps > most_gap):
                 continue
             over = max(0, c + long_ - a, d + long_ - b)  # n-grams that the run before has taken
             # a run that fits between two others makes the chain through it better than the one past it
@@ -358,19 +389,27 @@ def _chains(runs: np.ndarray, ends: tuple[int, int], n: int, least: int, thresho
                 links.append((p, gain * (size - over) - threshold * (gaps + 2 * over)))
                 if not over and len(between) < 8:
                     between.append((c, d))
-        into.append(links)
-    found, reached = [], -1
+        into.append(sorted(links, reverse=True))
+        insort(before, (-a - b, e))
+    spare = [gain * min(own_end - a - size, other_end - b - size) for a, b, size in kept]
+    found, reached, unreached = [], -1, -np.inf
     for s, (a, b, size) in enumerate(kept):
         if most_gap is not None and a < reached - 2 * least:
             continue
-        total = {s: gain * size}
+        total = [unreached] * len(kept)
+        total[s] = gain * size
         farthest, newest = None, s
         for e in range(s, len(kept)):
             if e > s:
                 if most_gap is not None and kept[e][0] > kept[newest][0] + widest + most_gap:
                     break
-                best = max((total[p] + more for p, more in into[e] if p in total), default=None)
-                if best is None or best + gain * min(own_end - kept[e][0] - kept[e][2], other_end - kept[e][1] - kept[e][2]) < -1e-9:
+                best = unreached
+                for p, more in into[e]:
+                    if p < s:
+                        break
+                    if total[p] + more > best:
+                        best = total[p] + more
+                if best + spare[e] < -1e-9:
                     continue  # not reached, or too low for what is left to make up for
                 total[e], newest = best, e
             c, d = kept[e][0] + kept[e][2], kept[e][1] + kept[e][2]
@@ -400,6 +439,24 @@ def most_gain(shared: np.ndarray, width: int, threshold: float, x: int | None =
     return float((most[last] - total[first]).max(initial=-np.inf))
 
 
+def most_gains(shared: np.ndarray, width: int, threshold: float, x: np.ndarray) -> np.ndarray:
+    """most_gain of each row, with its own ``x``; rows may be filled up at their ends with n-grams that are not shared."""
+    room = shared.shape[1] - width + 1
+    if room <= 0:
+        return np.full(len(shared), -np.inf)
+    total = np.zeros((len(shared), shared.shape[1] + 1))
+    np.cumsum(np.where(shared, (1 - threshold) / 2, -threshold), axis=1, out=total[:, 1:])
+    most = np.maximum.accumulate(total[:, ::-1], axis=1)[:, ::-1]
+    first, x = np.arange(room), x[:, None]
+    gains = np.take_along_axis(most, np.maximum(x + 1, first + width), axis=1) - total[:, :room]
+    return np.where(first <= x, gains, -np.inf).max(axis=1)
+
+
+def _joined(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range after the other."""
+    return np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
 _FOUND = pa.schema([(c, pa.int64()) for c in ("doc_id", "begin", "end", "source_doc_id", "source_begin", "source_end")] + [("similarity", pa.float64())])
 
 
@@ -414,7 +471,7 @@ def _verify(n: int, least: int, threshold: float):
                         out[k].append(v)
                     continue
                 x, y = _grams(own, n), _grams(other, n)
-                if most_gain(np.isin(x, y), least - n + 1, threshold) + most_gain(np.isin(y, x), least - n + 1, threshold) < -1e-9:
+                if most_gain(_among(x, y), least - n + 1, threshold) + most_gain(_among(y, x), least - n + 1, threshold) < -1e-9:
                     continue
                 for a, b, c, d, similarity in matching_passages(own, other, n, least, threshold):
                     for k, v in zip(out, (row["id"], row["begin"] + a, row["begin"] + b, row["source_id"], row["source_begin"] + c, row["source_begin"] + d, similarity), strict=True):
@@ -453,9 +510,16 @@ def _partners(n: int, least: int, threshold: float):
         grams = _grams(words[spans[0] :], n)[inside] if len(inside) else np.zeros(0, np.uint64)
         row = row[inside]
         # an n-gram counts per signature: all signatures of the table are gone through at once
-        flat, code = np.unique(mix(grams ^ mix(signature.view(np.uint64), 9)[row], 4), return_inverse=True)
+        key = mix(grams ^ mix(signature.view(np.uint64), 9)[row], 4)
+        slot = (key >> np.uint64(42)).astype(np.int64)
+        several = np.bincount(slot, minlength=1)[slot] > 1  # the others occur once, so they need no code of their own
+        flat, codes = np.unique(key[several], return_inverse=True)
+        code = np.full(len(key), len(flat))
+        code[several] = codes
         at_row = np.searchsorted(row, np.arange(len(raw) + 1))
-        twice = np.flatnonzero(np.bincount(code, minlength=1)[code] > 1)
+        times = np.bincount(code, minlength=len(flat) + 1)
+        times[-1] = 0
+        twice = np.flatnonzero(times[code] > 1)
         pair = np.sort(row[twice] * (len(flat) + 1) + code[twice])
         pair = pair[np.flatnonzero(np.diff(pair, prepend=-1))]
         owner, member = pair // (len(flat) + 1), pair % (len(flat) + 1)
@@ -482,17 +546,38 @@ def _partners(n: int, least: int, threshold: float):
             mark[other] = False
             return most_gain(shared, width, threshold, int(before[i]))
 
+        def possible(m: int, others: np.ndarray) -> Iterator[int]:
+            """The others with which a passage can be, in their order: some one by one, since one of the first often has it, the rest in chunks."""
+            for k in others[:4].tolist():
+                if gain(m, k) + gain(k, m) >= -1e-9:
+                    yield k
+            own, codes = member[of_row[m] : of_row[m + 1]], code[at_row[m] : at_row[m + 1]]
+            place_of = np.searchsorted(own, codes)
+            place_of[own[np.minimum(place_of, len(own) - 1)] != codes] = len(own)
+            for begin in range(4, len(others), 64):
+                part = others[begin : begin + 64]
+                sizes = of_row[part + 1] - of_row[part]
+                theirs = member[_joined(of_row[part], sizes)]
+                at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                has = np.zeros((len(part), len(own) + 1), bool)
+                same = own[at] == theirs
+                has[np.repeat(np.arange(len(part)), sizes)[same], at[same]] = True
+                mark[own] = True
+                lengths = at_row[part + 1] - at_row[part]
+                of_others = np.zeros((len(part), int(lengths.max())), bool)
+                of_others[np.arange(of_others.shape[1]) < lengths[:, None]] = mark[code[_joined(at_row[part], lengths)]]
+                mark[own] = False
+                gains = most_gains(has[:, place_of], width, threshold, np.full(len(part), before[m])) + most_gains(of_others, width, threshold, before[part])
+                yield from part[(gains >= -1e-9) & (lengths >= width)].tolist()
+
         for m in np.flatnonzero(asks & alive).tolist():
             own = member[of_row[m] : of_row[m + 1]]
             count = first[own + 1] - first[own]
-            at = np.arange(count.sum()) + np.repeat(first[own] - (np.cumsum(count) - count), count)
-            others, shared = np.unique(holders[at], return_counts=True)
-            some = (shared >= need) & (ids[others] < ids[m])
-            others, shared = others[some], shared[some]
+            shared = np.bincount(holders[_joined(first[own], count)], minlength=len(raw))
+            others = np.flatnonzero(shared >= need)
+            others = others[ids[others] < ids[m]]
             x = int(before[m])
-            for k in others[np.lexsort((ids[others], -shared))].tolist():
-                if gain(m, k) + gain(k, m) < -1e-9:
-                    continue
+            for k in possible(m, others[np.lexsort((ids[others], -shared[others]))]):
                 if any(p[0] <= x and x + n <= p[1] for p in matching_passages(words[spans[m] : spans[m + 1]], words[spans[k] : spans[k + 1]], n, least, threshold)):
                     for c, i in (("", m), ("source_", k)):
                         for name in place:
@@ -503,6 +588,11 @@ def _partners(n: int, least: int, threshold: float):
     return run
 
 
+def few(keys: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """A table just written, marked for broadcast if it (or the ``rows`` that it gathers) has at most ``FEW`` rows; a larger one is left to the planner, which sorts and merges."""
+    return F.broadcast(keys) if (keys if rows is None else rows).count() <= FEW else keys
+
+
 def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, begin, end, source_doc_id, source_begin, source_end, similarity): passages that a document shares with an earlier one.
 
@@ -531,11 +621,12 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
     margin = min_words + int(2 * width * (1 - threshold) / threshold)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= 2 * min_words - 1))
     seen = base.mapInArrow(_signatures(n, width), "signature long, id long").groupBy("signature").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    slot = F.shiftrightunsigned("signature", 64 - FILTER_BITS)
-    bit = F.call_function("shiftleft", F.expr("1L"), F.pmod(slot, F.lit(64)).cast("int"))
-    rows = seen.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2**21 rows at most
-    filled = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    slots = [F.shiftrightunsigned("signature", right).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + F.lit(part << FILTER_BITS) for part, right in enumerate(_PARTS)]
+    bit = F.call_function("shiftleft", F.expr("1L"), F.pmod("slot", F.lit(64)).cast("int"))
+    rows = seen.select(F.explode(F.array(*slots)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2**22 rows at most
+    filled = np.zeros(len(_PARTS) << (FILTER_BITS - 6), np.uint64)
     filled[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    filled = filled.reshape(len(_PARTS), -1)
     regions = base.mapInArrow(_regions(n, width, margin, filled), "id long, begin long, words binary, signatures array<long>, anchors array<long>, befores array<int>, afters array<int>, hashes array<long>")
     regions = materialize(regions, "passage-regions")
     each = {"signatures": "signature", "anchors": "anchor", "befores": "before", "afters": "after", "hashes": "hash"}
@@ -545,8 +636,11 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
     firsts = firsts.select("signature", F.col("first.id").alias("source_id"), F.col("first.begin").alias("source_begin"), F.col("first.anchor").alias("source_anchor"))
     firsts = materialize(firsts, "passages-firsts")  # so that a hot signature's members are split in the join
     pairs = cell.join(firsts, "signature").where("id <> source_id")
-    text = regions.groupBy("id", "begin").agg(F.first("words").alias("words"))
-    source = text.select(F.col("id").alias("source_id"), F.col("begin").alias("source_begin"), F.col("words").alias("source_words"))
+
+    def text_of(*keys: DataFrame) -> DataFrame:
+        """The words of those stretches: no others are shuffled while the keys are few enough to be sent to every executor."""
+        wanted = reduce(DataFrame.union, [k.select(F.col(k.columns[0]).alias("id"), F.col(k.columns[1]).alias("begin")) for k in keys]).distinct()
+        return regions.join(few(materialize(wanted, "passages-wanted")), ["id", "begin"], "left_semi").groupBy("id", "begin").agg(F.first("words").alias("words"))
 
     def cut(df: DataFrame, side: str) -> DataFrame:
         """Only the words around the anchors: all subsequences with their signatures lie there."""
@@ -557,7 +651,9 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
         ends = [f(c).alias(f"{k}_{c}") for c in ("anchor", "source_anchor") for k, f in (("lo", F.min), ("hi", F.max))]
-        pairs = pairs.groupBy("id", "begin", "source_id", "source_begin").agg(*ends)
+        pairs = materialize(pairs.groupBy("id", "begin", "source_id", "source_begin").agg(*ends), f"{name}-pairs")
+        text = text_of(pairs.select("id", "begin"), pairs.select("source_id", "source_begin"))
+        source = text.select(F.col("id").alias("source_id"), F.col("begin").alias("source_begin"), F.col("words").alias("source_words"))
         checked = cut(cut(pairs.join(text, ["id", "begin"]), "").join(source, ["source_id", "source_begin"]), "source_")
         checked = checked.select("id", "begin", "words", "source_id", "source_begin", "source_words")
         found = checked.mapInArrow(_verify(n, min_words, threshold), ", ".join(f"{f.name} {'double' if f.name == 'similarity' else 'long'}" for f in _FOUND))
@@ -566,36 +662,41 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, threshold: float
     found = compared(pairs, "passages-of-firsts")
     # signatures around which no passage covers some member yet, and the different stretches of words that they have
     held = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct(F.col("begin").alias("a"), F.col("end").alias("b"))).alias("held"))
-    left = regions.select("id", "begin", F.arrays_zip(*each).alias("c")).join(held, "id", "left")
+    left = regions.select("id", "begin", F.arrays_zip("signatures", "anchors", "hashes").alias("c")).join(few(materialize(held, "passages-held"), found), "id", "left")
     covered = lambda c: F.exists("held", lambda h: (h["a"] <= c["anchors"]) & (c["anchors"] + n <= h["b"]))
-    left = left.select("id", "begin", F.explode(F.filter("c", lambda c: ~F.coalesce(covered(c), F.lit(False)))).alias("c")).select("id", "begin", *named)
+    left = left.select("id", "begin", F.explode(F.filter("c", lambda c: ~F.coalesce(covered(c), F.lit(False)))).alias("c")).select("id", "begin", *[F.col(f"c.{c}").alias(each[c]) for c in ("signatures", "anchors", "hashes")])
     left = materialize(left.join(firsts.select("signature", "source_id"), "signature").where("id <> source_id").select("signature", "id", "begin", "anchor", "hash"), "passages-open")
     asked = materialize(left.select("signature").distinct(), "passages-asked")
     least_of = F.min(F.struct("id", "begin", "anchor", "before", "after")).alias("r")
-    contents = materialize(cell.join(asked, "signature", "left_semi").groupBy("signature", "hash").agg(least_of).select("signature", "hash", "r.*"), "passages-contents")
+    contents = materialize(cell.join(few(asked), "signature", "left_semi").groupBy("signature", "hash").agg(least_of).select("signature", "hash", "r.*"), "passages-contents")
     # equal stretches: the least holder is a partner; it alone goes on to ask the other stretches
     ends = contents.select("signature", "hash", F.col("id").alias("source_id"), F.col("begin").alias("source_begin"), F.col("anchor").alias("source_anchor"))
     alike = left.join(ends, ["signature", "hash"]).where("source_id < id").select("id", "begin", "anchor", "source_id", "source_begin", "source_anchor")
     asking = left.select("signature", "hash", F.col("id").alias("asking_id"))
     asking = contents.join(asking, ["signature", "hash"]).where("id = asking_id").select("signature", "hash").distinct()
-    members = contents.join(asking.withColumn("asks", F.lit(True)), ["signature", "hash"], "left").join(text, ["id", "begin"])
-    cut_at = (2 * (F.col("anchor") - F.col("before") - F.col("begin")) + 1).cast("int")
-    members = members.select("signature", "hash", "id", "begin", "anchor", "before", F.coalesce("asks", F.lit(False)).alias("asks"), F.substring("words", cut_at, 2 * (F.col("before") + F.col("after"))).alias("words"))
-    members = materialize(members, "passages-members")
+    members = contents.join(asking.withColumn("asks", F.lit(True)), ["signature", "hash"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
 
     def counted(df: DataFrame) -> DataFrame:
         return materialize(df.groupBy("signature").agg(F.count("*").alias("size"), F.count_if("asks").alias("asking")).where("size > 1 AND asking > 0"), "passages-sizes")
 
+    # the words come last, once, to the groups that are searched
+    members = materialize(members, "passages-members")
     sizes = counted(members)
+    members = members.join(sizes, "signature")
+    cut_at = (2 * (F.col("anchor") - F.col("before") - F.col("begin")) + 1).cast("int")
+    words = F.substring("words", cut_at, 2 * (F.col("before") + F.col("after"))).alias("words")
+    members = members.join(text_of(members.select("id", "begin")), ["id", "begin"]).select("signature", "hash", "id", "begin", "anchor", "before", "asks", "size", "asking", words)
+    members = materialize(members, "passages-worded")
     # groups that ask and hold very much lose the stretches that share too few n-grams with all others together: a line that very many documents have leaves none
-    large = members.join(sizes.where(F.col("asking") > BLOCK).select("signature"), "signature", "left_semi")
+    large = members.where(F.col("asking") > BLOCK)
     grams = materialize(large.select("signature", "hash", "words").mapInArrow(_gram_rows(n), "signature long, hash long, gram long"), "passages-grams")
     common = materialize(grams.groupBy("signature", "gram").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "passages-common")
     rich = grams.join(common, ["signature", "gram"]).groupBy("signature", "hash").count().where(F.col("count") >= _least_shared(min_words, threshold, n))
-    large = large.join(rich.select("signature", "hash"), ["signature", "hash"], "left_semi")
-    wide = members.join(sizes.where((F.col("size") > BLOCK) & (F.col("asking") <= BLOCK)).select("signature"), "signature", "left_semi")
-    large = materialize(large.unionByName(wide), "passages-large")
-    small = members.join(sizes.where(F.col("size") <= BLOCK).select("signature"), "signature", "left_semi")
+    rich = materialize(rich.select("signature", "hash"), "passages-rich")
+    large = large.join(rich, ["signature", "hash"], "left_semi")
+    wide = members.where((F.col("size") > BLOCK) & (F.col("asking") <= BLOCK))
+    large = materialize(large.unionByName(wide).drop("size", "asking"), "passages-large")
+    small = members.where(F.col("size") <= BLOCK)
     columns = ["pack", "signature", "ask", "block", "asks", "holds", "id", "begin", "anchor", "before", "words"]
     # small groups go through together, about BLOCK stretches at a time
     packs = max(1, (sizes.where(F.col("size") <= BLOCK).agg(F.sum("size")).first()[0] or 0) // BLOCK)

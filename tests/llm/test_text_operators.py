@@ -508,6 +508,45 @@ def test_passages_of_others_than_the_first(spark, monkeypatch, block):
     assert want <= {(r.doc_id, r.source_doc_id) for r in substring_dedup.repeated_passages(docs_of(spark, texts)).collect()}
 
 
+def test_signatures_pass_only_if_both_parts_of_the_filter_hold_them():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(words(120, 77, 10**6))])], ["id", "text"])
+    parts = np.full((2, 1 << (substring_dedup.FILTER_BITS - 6)), np.uint64(2**64 - 1))
+    passed = lambda *on: [list(x) for x in substring_dedup._regions(5, 46, 70, parts * np.array(on, np.uint64)[:, None])(iter([batch]))]
+    assert passed(1, 1) and not passed(1, 0) and not passed(0, 1)
+
+
+def test_runs_within_longer_ones_go():
+    rng = np.random.default_rng(5)
+    runs = rng.integers(0, 60, (600, 3)) + [0, 0, 1]
+    runs = runs[np.argsort(-runs[:, 2], kind="stable")]
+    kept: list[list[int]] = []
+    for a, b, size in runs.tolist():
+        if not any(c <= a and d <= b and a + size <= c + more and b + size <= d + more for c, d, more in kept):
+            kept.append([a, b, size])
+    assert substring_dedup._outer(runs).tolist() == kept
+
+
+def test_gains_of_many_rows_are_those_of_each():
+    rng = np.random.default_rng(6)
+    lengths, x = rng.integers(46, 120, 50), rng.integers(0, 46, 50)
+    rows = [rng.random(k) < 0.9 for k in lengths]
+    filled = np.array([np.pad(r, (0, 120 - len(r))) for r in rows])
+    want = [substring_dedup.most_gain(r, 46, 0.8, int(k)) for r, k in zip(rows, x, strict=True)]
+    assert np.allclose(substring_dedup.most_gains(filled, 46, 0.8, x), want)
+
+
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_passages_need_no_broadcast_and_move_words_once(spark, monkeypatch, few):
+    """Words leave the regions for the compared stretches only; the tables of searched groups have them once."""
+    monkeypatch.setattr(substring_dedup, "FEW", few)
+    made = {}
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, name: made.setdefault(name, common.materialize(df, name)) if name not in made else common.materialize(df, name))
+    passage = " ".join(words(60, 900, 10**6))
+    texts = {k: f"{' '.join(words(60, 910 + k, 10**6))} {passage} {' '.join(words(60, 920 + k, 10**6))}" for k in range(4)}
+    assert {(r.doc_id, r.source_doc_id) for r in substring_dedup.repeated_passages(docs_of(spark, texts)).collect()} >= {(k, 0) for k in (1, 2, 3)}
+    assert "words" not in made["passages-members"].columns and "words" in made["passages-worded"].columns
+
+
 # 9: archives
 
 
